@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ratesift.sources.views import Views
 
 PLANS: dict[str, Callable[[Views], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL_BODIES: dict[str, tuple[str, str, bool]] = {}
 
 # Shared WITH entries of the SQL texts, in dependency order.
 CTES: dict[str, str] = {
@@ -52,7 +52,7 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
     for name in names.split():
         visit(name)
     own = body.lstrip()
-    head = ", ".join(f"{n} AS ({CTES[n]})" for n in wanted)
+    head = ", ".join(f'"{n}" AS ({CTES[n]})' for n in wanted)
     if own[:5].upper() == "WITH ":
         return f"WITH {'RECURSIVE ' if recursive else ''}{head}{', ' if head else ''}{own[5:]}"
     return f"WITH {head} {own}" if head else own
@@ -66,7 +66,7 @@ def query(key: str, views: str = "", sql: str | None = None, recursive: bool = F
             raise ValueError(f"duplicate query {key}")
         PLANS[key] = plan
         if sql is not None:
-            SQL[key] = with_views(views, sql, recursive)
+            SQL_BODIES[key] = (views, sql, recursive)
         return plan
 
     return add
@@ -78,3 +78,7 @@ def runnable(plan: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str]
 
     run.__doc__ = plan.__doc__
     return run
+
+
+def sql_texts() -> dict[str, str]:
+    return {key: with_views(*body) for key, body in SQL_BODIES.items()}

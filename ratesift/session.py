@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
 
 def get_session(app: str = "ratesift", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session; keyword names use ``__`` for dots (``spark__sql__shuffle__partitions="8"``)."""
@@ -37,9 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="ratesift-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _LOCAL_FALLBACK.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ratesift-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,3 +54,17 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, for the few operators with Arrow functions."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ratesift-")) / "ratesift"
+        packed = shutil.make_archive(str(archive), "zip", root_dir=root.parent, base_dir=root.name)
+        spark.sparkContext.addPyFile(packed)
+        _SHIPPED.add(app)
