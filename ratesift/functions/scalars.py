@@ -32,7 +32,7 @@ def flag(condition: Column) -> Column:
 
 def genre_array(genres: Column) -> Column:
     """``A|B`` to trimmed array; the sentinel, empty and missing strings give an empty array."""
-    parts = F.transform(F.split(F.coalesce(genres, F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(genres, F.lit("")), r"\|"), lambda g: F.trim(g))
     return F.filter(parts, lambda g: (g != F.lit(NO_GENRES)) & (g != F.lit("")))
 
 
@@ -70,8 +70,8 @@ def bits_to_number(bits: Column) -> Column:
 
 
 def pearson_distance(x: Column, y: Column) -> Column:
-    """Aggregate: one minus the correlation of two columns."""
-    return 1 - F.corr(x, y)
+    """Aggregate: one minus the correlation of two columns; missing when either does not vary."""
+    return 1 - F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def grid(start: float, stop: float, points: int) -> Column:

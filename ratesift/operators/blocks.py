@@ -126,7 +126,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[
     names = ("pair", "phase", "dim", "side", "key", "val")
     carry = None
     for batch in batches:
-        rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+        size = batch.column("keys").value_lengths().to_numpy(zero_copy_only=False)
+        rows = {n: np.repeat(batch.column(n).to_numpy(zero_copy_only=False), size) for n in names[:4]}
+        rows |= {n: batch.column(f"{n}s").flatten().to_numpy(zero_copy_only=False) for n in names[4:]}
         if carry is not None:
             rows = {n: np.concatenate([carry[n], rows[n]]) for n in names}
         unit = (np.diff(rows["pair"]) != 0) | (np.diff(rows["phase"]) != 0)
@@ -224,15 +226,29 @@ def _work(plan: BlockPlan):
     return run
 
 
-def _copies(df: DataFrame, phase: int, side: int, blocks: Column) -> DataFrame:
-    """The rows of one side, once per block of the other side."""
+def _packed(df: DataFrame, blocks: Column) -> DataFrame:
+    """Ratings gathered per (dimension, key block): at most one block of keys per row."""
     own = F.pmod(F.xxhash64("key"), F.col("_m"))
-    pair = own * F.col("_m") + F.col("_x") if side == 0 else F.col("_x") * F.col("_m") + own
-    return (
-        df.select("key", "dim", F.col("val").cast("double").alias("val"), blocks.alias("_m"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_x"))
-        .select(pair.alias("pair"), F.lit(phase).alias("phase"), "dim", F.lit(side).alias("side"), "key", "val")
-    )
+    rows = df.select("key", "dim", F.col("val").cast("double").alias("val"), blocks.alias("_m")).withColumn("_own", own)
+    gathered = rows.groupBy("dim", "_own", "_m").agg(F.collect_list(F.struct("key", "val")).alias("kv"))
+    return gathered.select("dim", "_own", "_m", F.col("kv.key").alias("keys"), F.col("kv.val").alias("vals"))
+
+
+def _copies(packed: DataFrame, phase: int, sides: tuple[int, ...]) -> DataFrame:
+    """The rows of one or both sides, once per block of the other side."""
+    others = F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)
+    own, m = F.col("_own"), F.col("_m")
+
+    def target(side: int) -> Column:
+        def place(x: Column) -> Column:
+            pair = own * m + x if side == 0 else x * m + own
+            return F.struct(pair.alias("pair"), F.lit(side).alias("side"))
+
+        return F.transform(others, place)
+
+    targets = F.concat(*[target(s) for s in sides])
+    exploded = packed.select("dim", "keys", "vals", F.explode(targets).alias("_t"))
+    return exploded.select("_t.pair", F.lit(phase).alias("phase"), "dim", "_t.side", "keys", "vals")
 
 
 def pair_statistics(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None = None,
@@ -247,9 +263,10 @@ def pair_statistics(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None
         F.greatest(F.col("m"), F.lit(1)).cast("long").alias("m")
     )
     blocks = n_keys.scalar()
-    rows = _copies(facts, 0, 0, blocks).unionByName(_copies(facts, 0, 1, blocks))
+    rows = _copies(_packed(facts, blocks), 0, (0, 1))
     if queries is not None:
-        rows = rows.unionByName(_copies(queries, 1, 0, blocks)).unionByName(_copies(candidates, 1, 1, blocks))
+        rows = rows.unionByName(_copies(_packed(queries, blocks), 1, (0,)))
+        rows = rows.unionByName(_copies(_packed(candidates, blocks), 1, (1,)))
     parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition(parts, "pair").sortWithinPartitions("pair", "phase", "dim")
     return placed.mapInArrow(_work(plan), OUT)

@@ -14,14 +14,14 @@ from ratesift.plans.registry import query
 from ratesift.plans.relational import clusters
 
 
-@query("d1_group_counts", "th", """SELECT 'user' AS side, userId AS id, count_if(rating < k) AS w,
-    count_if(rating >= k AND rating < v) AS a, count_if(rating >= v) AS s FROM ratings, th GROUP BY userId UNION ALL
+@query("d1_group_counts", "th", """SELECT 'user' AS side, userId AS id, CAST(count_if(rating < k) AS BIGINT) AS w,
+    CAST(count_if(rating >= k AND rating < v) AS BIGINT) AS a, CAST(count_if(rating >= v) AS BIGINT) AS s FROM ratings, th GROUP BY userId UNION ALL
     SELECT 'item', itemId, count_if(rating < k), count_if(rating >= k AND rating < v), count_if(rating >= v)
     FROM ratings, th GROUP BY itemId""")
 def group_counts(t):
-    k, v = cat.cuts(t.ratings)
+    k, v = cat.cuts(t.stored)
     sides = [
-        cat.group_counts(t.ratings, key, k, v).select(F.lit(side).alias("side"), F.col(key).alias("id"), "w", "a", "s")
+        cat.group_counts(t.stored, key, k, v).select(F.lit(side).alias("side"), F.col(key).alias("id"), "w", "a", "s")
         for side, key in (("user", "userId"), ("item", "itemId"))
     ]
     return sides[0].unionByName(sides[1])
@@ -40,8 +40,8 @@ def genre_means(t):
 @query("d4_extremes", "coh1", """SELECT (SELECT min(rating) FROM ratings) AS r_min, (SELECT max(rating) FROM ratings) AS r_max,
     min(n_ratings) AS n_min, max(n_ratings) AS n_max, min(coherence) AS c_min, max(coherence) AS c_max FROM coh1""")
 def extremes(t):
-    r = t.ratings.agg(F.min("rating").alias("lo"), F.max("rating").alias("hi"))
-    scored = coh.coherence(t.ratings, t.items)
+    r = t.stored.agg(F.min("rating").alias("lo"), F.max("rating").alias("hi"))
+    scored = coh.coherence(t.stored, t.items)
     return scored.agg(
         F.min("n_ratings").alias("n_min"), F.max("n_ratings").alias("n_max"),
         F.min("coherence").alias("c_min"), F.max("coherence").alias("c_max"),
@@ -57,7 +57,7 @@ def count_quantiles(t):
 
 @query("d6_tier_medians", "tm", "SELECT tier, median_coherence FROM tm")
 def tier_medians(t):
-    medians = coh.tier_medians(coh.tiered_coherence(t.ratings, t.items))
+    medians = coh.tier_medians(coh.tiered_coherence(t.stored, t.items))
     return medians.select("tier", r6(F.col("median_coherence")).alias("median_coherence"))
 
 
@@ -67,14 +67,14 @@ def size_report(t):
     return agg.size_report(t.ratings)
 
 
-@query("d8_polarity_counts", "ratings", """SELECT userId, count(*) AS total, count_if(rating > 3) AS positive,
-    count_if(rating <= 3) AS negative FROM ratings GROUP BY userId""")
+@query("d8_polarity_counts", "ratings", """SELECT userId, count(*) AS total, CAST(count_if(rating > 3) AS BIGINT) AS positive,
+    CAST(count_if(rating <= 3) AS BIGINT) AS negative FROM ratings GROUP BY userId""")
 def polarity_counts(t):
     return agg.polarity_counts(t.ratings)
 
 
-@query("d8_polarity_counts_trust", "ratings", """SELECT userId, count(*) AS total, count_if(rating > 4) AS positive,
-    count_if(rating <= 4) AS negative FROM ratings GROUP BY userId""")
+@query("d8_polarity_counts_trust", "ratings", """SELECT userId, count(*) AS total, CAST(count_if(rating > 4) AS BIGINT) AS positive,
+    CAST(count_if(rating <= 4) AS BIGINT) AS negative FROM ratings GROUP BY userId""")
 def polarity_counts_trust(t):
     return agg.polarity_counts(t.ratings, 4.0)
 
@@ -144,9 +144,9 @@ def support_filter(t):
 @query("d20_dense_index", "ratings", """SELECT userId, itemId, dense_rank() OVER (ORDER BY userId) - 1 AS user_idx,
     dense_rank() OVER (ORDER BY itemId) - 1 AS item_idx FROM ratings""")
 def dense_ids(t):
-    users = dense_index(t.ratings, "userId", "user_idx")
-    items = dense_index(t.ratings, "itemId", "item_idx")
-    return t.ratings.select("userId", "itemId").join(users, "userId").join(items, "itemId")
+    users = dense_index(t.stored, "userId", "user_idx")
+    items = dense_index(t.stored, "itemId", "item_idx")
+    return t.stored.select("userId", "itemId").join(users, "userId").join(items, "itemId")
 
 
 @query("d21_genres", "rg", "SELECT DISTINCT unnest(string_split(genres, '|')) AS genre FROM items WHERE genres NOT LIKE '(%'")

@@ -38,23 +38,23 @@ cte("genre_list", "SELECT DISTINCT unnest(string_split(genres, '|')) AS genre FR
 
 
 def consensus(t):
-    return con.consensus_table(t.ratings, t.items)
+    return con.consensus_table(t.stored, t.items)
 
 
 def opt_out(t):
-    return opt.opt_out_users(cat.flag_category_noise(t.ratings), "nf1")
+    return opt.opt_out_users(cat.flag_category_noise(t.stored), "nf1")
 
 
 @query("j1_merge_filters", "merged", "SELECT userId, itemId, nf1, nf2, nf3, nf4 FROM merged")
 def merge_filters(t):
     third = nei.flag_neighbour_noise(nei.knn_with_means(*split70(t)), con.WIDE_MISS)
     parts = [
-        (cat.flag_category_noise(t.ratings), "nf1"),
-        (coh.flag_coherence_noise(t.ratings, t.items), "nf2"),
+        (cat.flag_category_noise(t.stored), "nf1"),
+        (coh.flag_coherence_noise(t.stored, t.items), "nf2"),
         (third, "nf3"),
-        (fuz.flag_fuzzy_noise(t.ratings), "nf4"),
+        (fuz.flag_fuzzy_noise(t.stored), "nf4"),
     ]
-    return con.merge_filters(t.ratings.select("userId", "itemId"), parts)
+    return con.merge_filters(t.stored.select("userId", "itemId"), parts)
 
 
 @query("j2_agreement", "consensus", "SELECT userId, itemId, all_ones, all_zeros FROM consensus")
@@ -75,8 +75,7 @@ def labelled_split(t):
     return train.unionByName(con.unlabelled(table).select(F.lit("score").alias("part"), "userId", "itemId"))
 
 
-@query("k1_genre_bits", "items genre_list", """SELECT itemId, bits, CAST(list_sum(list_transform(range(1, len(bits) + 1),
-    i -> CASE WHEN bits[i] = '1' THEN 1::BIGINT << (len(bits) - i)::INT ELSE 0 END)) AS BIGINT) AS number FROM (SELECT itemId, string_agg(CASE WHEN
+@query("k1_genre_bits", "items genre_list", """SELECT itemId, bits, CAST(list_sum(list_transform(range(1, len(bits) + 1), lambda i: CASE WHEN bits[i] = '1' THEN 1::BIGINT << (len(bits) - i)::INT ELSE 0 END)) AS BIGINT) AS number FROM (SELECT itemId, string_agg(CASE WHEN
     list_contains(string_split(genres, '|'), genre) THEN '1' ELSE '0' END, '' ORDER BY genre) AS bits FROM items, genre_list GROUP BY itemId)""")
 def genre_bits(t):
     names = fea.genre_names(t.items)
@@ -90,13 +89,13 @@ def genre_bits(t):
     CASE WHEN rating_group = 'Au' THEN 1 ELSE 0 END AS "rating_group_Au", CASE WHEN rating_group = 'Su' THEN 1 ELSE 0 END
     AS "rating_group_Su" FROM f1""")
 def one_hot(t):
-    flagged = cat.flag_category_noise(t.ratings).select("userId", "itemId", "rating_group")
+    flagged = cat.flag_category_noise(t.stored).select("userId", "itemId", "rating_group")
     return fea.one_hot_columns(flagged, "rating_group", ["Wu", "Au", "Su"]).drop("rating_group")
 
 
 @query("m1_noisy_ratings", "f1", "SELECT userId, itemId, rating FROM f1 WHERE nf1 = 1")
 def noisy_ratings(t):
-    return opt.noisy_ratings(cat.flag_category_noise(t.ratings), "nf1").select("userId", "itemId", "rating")
+    return opt.noisy_ratings(cat.flag_category_noise(t.stored), "nf1").select("userId", "itemId", "rating")
 
 
 @query("m2_opt_out_users", "optout", "SELECT userId, OptOut FROM optout")
@@ -107,7 +106,7 @@ def opt_out_users(t):
 @query("m3_ratings_with_opt_out", "f1 optout", """SELECT userId, itemId, rating, nf1, coalesce(OptOut, 0) AS OptOut FROM f1
     LEFT JOIN optout USING (userId)""")
 def ratings_with_opt_out(t):
-    flagged = cat.flag_category_noise(t.ratings)
+    flagged = cat.flag_category_noise(t.stored)
     return opt.attach_opt_out(flagged, opt.opt_out_users(flagged, "nf1")).select(
         "userId", "itemId", "rating", "nf1", "OptOut"
     )
@@ -116,6 +115,6 @@ def ratings_with_opt_out(t):
 @query("m4_layer3_result", "f1 optout", """SELECT userId, itemId, CASE WHEN nf1 = 1 AND coalesce(OptOut, 0) = 0 THEN 1 ELSE 0 END
     AS layer3_result FROM f1 LEFT JOIN optout USING (userId)""")
 def layer3_result(t):
-    flagged = cat.flag_category_noise(t.ratings)
+    flagged = cat.flag_category_noise(t.stored)
     attached = opt.attach_opt_out(flagged, opt.opt_out_users(flagged, "nf1"))
     return opt.layer3_result(attached, "nf1").select("userId", "itemId", "layer3_result")

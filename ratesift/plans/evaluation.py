@@ -27,7 +27,7 @@ cte(
 cte(
     "hits",
     """SELECT a.userId, coalesce(hit, 0) AS hit, actual, coalesce(dcg, 0) AS dcg,
-    list_sum(list_transform(range(1, least(actual, 10) + 1), r -> 1 / ln(1 + r))) AS idcg, coalesce(ap, 0) / actual AS ap
+    list_sum(list_transform(range(1, least(actual, 10) + 1), lambda r: 1 / ln(1 + r))) AS idcg, coalesce(ap, 0) / actual AS ap
     FROM (SELECT userId, count(*) AS actual FROM test WHERE userId IN (SELECT userId FROM recs) GROUP BY userId) a
     LEFT JOIN (SELECT userId, count(*) AS hit, sum(1 / ln(1 + rank)) AS dcg, sum(nth / rank) AS ap FROM (SELECT r.userId, rank,
     row_number() OVER (PARTITION BY r.userId ORDER BY rank) AS nth FROM recs r JOIN test USING (userId, itemId)) GROUP BY userId) USING (userId)""",
@@ -93,7 +93,7 @@ def per_user_hits(t):
 
 def diversity(t):
     _, test, recs = popular_recommendations(t)
-    return met.diversity_ndcg(recs, test, t.ratings, t.items, 5)
+    return met.diversity_ndcg(recs, test, t.stored, t.items, 5)
 
 
 def rounded(df, *columns):
@@ -227,7 +227,7 @@ def cluster_serendipity(t):
 
 @query("p10_genre_likelihood", "like", 'SELECT userId, genre, round(likelihood, 6) AS likelihood FROM "like"')
 def genre_likelihood(t):
-    return rounded(met.genre_likelihood(t.ratings, t.items), "likelihood")
+    return rounded(met.genre_likelihood(t.stored, t.items), "likelihood")
 
 
 @query("p11_diversity_ndcg", "dn", "SELECT userId, round(dcg, 6) AS dcg, round(idcg, 6) AS idcg FROM dn")
@@ -242,7 +242,7 @@ def diversity_ndcg(t):
     (SELECT avg(CASE WHEN nf1 = nf4 THEN 1.0 ELSE 0 END) AS accuracy FROM f1 JOIN f4 USING (userId, itemId))""")
 def confusion(t):
     """Filter 1 as a prediction of filter 4."""
-    flagged = fuz.flag_fuzzy_noise(cat.flag_category_noise(t.ratings))
+    flagged = fuz.flag_fuzzy_noise(cat.flag_category_noise(t.stored))
     return rounded(met.confusion(flagged, "nf4", "nf1"), "precision", "recall", "accuracy")
 
 

@@ -11,6 +11,7 @@ from ratesift.operators import fuzzy_noise as fuz
 from ratesift.operators import neighbour_noise as nei
 from ratesift.operators.noise_report import noise_report
 from ratesift.plans.registry import cte, query
+from ratesift.session import durable
 
 cte(
     "th",
@@ -204,25 +205,25 @@ def nf1_thresholds(t):
 
 @query("i1b_nf1_rating_group", "f1", "SELECT userId, itemId, rating, rating_group FROM f1")
 def nf1_rating_group(t):
-    k, v = cat.cuts(t.ratings)
-    return t.ratings.select(
+    k, v = cat.cuts(t.stored)
+    return t.stored.select(
         "userId", "itemId", "rating", cat.rating_group(F.col("rating"), k, v).alias("rating_group")
     )
 
 
 @query("i1c_nf1_user_category", "uc", "SELECT userId, user_cat FROM uc")
 def nf1_user_category(t):
-    return cat.user_categories(t.ratings, *cat.cuts(t.ratings))
+    return cat.user_categories(t.stored, *cat.cuts(t.stored))
 
 
 @query("i1d_nf1_item_category", "ic", "SELECT itemId, item_cat FROM ic")
 def nf1_item_category(t):
-    return cat.item_categories(t.ratings, *cat.cuts(t.ratings))
+    return cat.item_categories(t.stored, *cat.cuts(t.stored))
 
 
 @query("i1e_nf1", "f1", "SELECT userId, itemId, rating, rating_group, user_cat, item_cat, nf1 FROM f1")
 def nf1(t):
-    return cat.flag_category_noise(t.ratings).select(
+    return cat.flag_category_noise(t.stored).select(
         "userId", "itemId", "rating", "rating_group", "user_cat", "item_cat", "nf1"
     )
 
@@ -230,43 +231,46 @@ def nf1(t):
 @query("i1e_nf1_paper", "f1", """SELECT userId, itemId, CASE WHEN nf1 = 1 OR (user_cat = 'Average' AND item_cat =
     'Averagely-preferred' AND (rating < k OR rating >= v)) THEN 1 ELSE 0 END AS nf1 FROM f1, th""")
 def nf1_paper(t):
-    return cat.flag_category_noise(t.ratings, cat.CategoryNoise(mode="paper")).select("userId", "itemId", "nf1")
+    return cat.flag_category_noise(t.stored, cat.CategoryNoise(mode="paper")).select("userId", "itemId", "nf1")
 
 
 @query("i2a_coherence", "coh1", "SELECT userId, n_ratings, coherence FROM coh1")
 def coherence(t):
-    return coh.coherence(t.ratings, t.items)
+    return coh.coherence(t.stored, t.items)
 
 
 @query("i2b_user_group", "g1", "SELECT userId, n_ratings, coherence, user_group FROM g1")
 def user_group(t):
-    return coh.user_groups_by_thirds(t.ratings, t.items)
+    return coh.user_groups_by_thirds(t.stored, t.items)
 
 
 @query("i2c_coherence_v2", "coh2", "SELECT userId, n_ratings, coherence FROM coh2")
 def coherence_v2(t):
-    return coh.coherence(t.ratings, t.items, normalised=True)
+    return coh.coherence(t.stored, t.items, normalised=True)
 
 
 @query("i2d_user_group_v2", "g2", "SELECT userId, n_ratings, coherence, user_group FROM g2")
 def user_group_v2(t):
-    return coh.user_groups_by_quantile(t.ratings, t.items)
+    return coh.user_groups_by_quantile(t.stored, t.items)
 
 
 @query("i2f_rnd_fraction", "f2a", "SELECT userId, itemId, rating, user_group, round(rnd, 6) AS rnd, nf2 FROM f2a")
 def rnd_fraction(t):
-    flagged = coh.flag_coherence_noise(t.ratings, t.items, coh.CoherenceNoise("fraction", "thirds"))
+    flagged = coh.flag_coherence_noise(t.stored, t.items, coh.CoherenceNoise("fraction", "thirds"))
     return flagged.select("userId", "itemId", "rating", "user_group", r6(F.col("rnd")).alias("rnd"), "nf2")
 
 
 @query("i2g_rnd_mean", "f2", "SELECT userId, itemId, rating, user_group, round(rnd, 6) AS rnd, thresh, nf2 FROM f2")
 def rnd_mean(t):
-    flagged = coh.flag_coherence_noise(t.ratings, t.items)
+    flagged = coh.flag_coherence_noise(t.stored, t.items)
     return flagged.select("userId", "itemId", "rating", "user_group", r6(F.col("rnd")).alias("rnd"), "thresh", "nf2")
 
 
 def split70(t):
-    parts = nei.stratified_split(t.ratings, 0.7)
+    """Training and test ratings; the split is written once per query."""
+    if not hasattr(t, "split70"):
+        t.split70 = durable(nei.stratified_split(t.stored, 0.7), "split")
+    parts = t.split70
     return parts.where("is_train = 1").drop("is_train"), parts.where("is_train = 0").drop("is_train")
 
 
@@ -295,14 +299,14 @@ def fuzzy_boundaries(t):
     """Corners of the three memberships and the ratings lying on each plateau."""
     corners = list(zip(fuz.LABELS, fuz.boundaries(0.5, 5.0), strict=True))
     rows = [F.struct(F.lit(n).alias("label"), *[F.lit(float(x)).alias(c) for c, x in zip("abcd", v)]) for n, v in corners]
-    on_plateau = t.ratings.select("rating", F.explode(F.array(*rows)).alias("f")).select("rating", "f.*")
+    on_plateau = t.stored.select("rating", F.explode(F.array(*rows)).alias("f")).select("rating", "f.*")
     return on_plateau.where("rating BETWEEN b AND c").groupBy("label", *"abcd").agg(F.count(F.lit(1)).alias("n_full"))
 
 
 @query("i4b_fuzzy_rating_profile", "fr", """SELECT userId, itemId, rating, round(r_low, 6) AS r_low,
     round(r_medium, 6) AS r_medium, round(r_high, 6) AS r_high FROM fr""")
 def fuzzy_rating_profile(t):
-    return t.ratings.select("userId", "itemId", "rating", *fuz.rating_profile()).select(
+    return t.stored.select("userId", "itemId", "rating", *fuz.rating_profile()).select(
         "userId", "itemId", "rating", *[r6(F.col(f"r_{x}")).alias(f"r_{x}") for x in fuz.LABELS]
     )
 
@@ -310,7 +314,7 @@ def fuzzy_rating_profile(t):
 @query("i4c_fuzzy_profile_user", "fu", """SELECT userId, round(u_low, 6) AS u_low, round(u_medium, 6) AS u_medium,
     round(u_high, 6) AS u_high FROM fu""")
 def fuzzy_profile_user(t):
-    return fuz.profile_by(t.ratings, "userId", "u").select(
+    return fuz.profile_by(t.stored, "userId", "u").select(
         "userId", *[r6(F.col(f"u_{x}")).alias(f"u_{x}") for x in fuz.LABELS]
     )
 
@@ -318,26 +322,26 @@ def fuzzy_profile_user(t):
 @query("i4c_fuzzy_profile_item", "fi", """SELECT itemId, round(i_low, 6) AS i_low, round(i_medium, 6) AS i_medium,
     round(i_high, 6) AS i_high FROM fi""")
 def fuzzy_profile_item(t):
-    return fuz.profile_by(t.ratings, "itemId", "i").select(
+    return fuz.profile_by(t.stored, "itemId", "i").select(
         "itemId", *[r6(F.col(f"i_{x}")).alias(f"i_{x}") for x in fuz.LABELS]
     )
 
 
 @query("i4d_fuzzy_prefilter", "f4", "SELECT userId, itemId, rating FROM f4 WHERE eligible = 1")
 def fuzzy_prefilter(t):
-    return fuz.flag_fuzzy_noise(t.ratings).where("eligible = 1").select("userId", "itemId", "rating")
+    return fuz.flag_fuzzy_noise(t.stored).where("eligible = 1").select("userId", "itemId", "rating")
 
 
 @query("i4e_nf4", "f4", "SELECT userId, itemId, rating, eligible, degree, nf4 FROM f4")
 def nf4(t):
-    return fuz.flag_fuzzy_noise(t.ratings).select(
+    return fuz.flag_fuzzy_noise(t.stored).select(
         "userId", "itemId", "rating", "eligible", "degree", "nf4"
     )
 
 
 @query("i4e_nf4_full_distance", "f4_full", "SELECT userId, itemId, eligible, nf4 FROM f4_full")
 def nf4_full(t):
-    return fuz.flag_fuzzy_noise(t.ratings, fuz.FuzzyNoise(full=True)).select("userId", "itemId", "eligible", "nf4")
+    return fuz.flag_fuzzy_noise(t.stored, fuz.FuzzyNoise(full=True)).select("userId", "itemId", "eligible", "nf4")
 
 
 @query("i5_noise_report", "f1 f2 f4", """SELECT filter, count(DISTINCT userId) AS users, count(DISTINCT itemId) AS items,
@@ -345,5 +349,5 @@ def nf4_full(t):
     SELECT 'nf1' AS filter, userId, itemId, nf1 AS flag FROM f1 UNION ALL SELECT 'nf2', userId, itemId, nf2 FROM f2
     UNION ALL SELECT 'nf4', userId, itemId, nf4 FROM f4) GROUP BY filter""")
 def report(t):
-    flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.ratings), t.items))
+    flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.stored), t.items))
     return noise_report(flagged, ["nf1", "nf2", "nf4"])

@@ -33,7 +33,7 @@ def project(t):
     UNION ALL SELECT 'both', f1.userId, f1.itemId FROM f1 JOIN f2 USING (userId, itemId)
         JOIN f4 USING (userId, itemId) WHERE least(nf1, nf2, nf4) = 0 AND greatest(nf1, nf2, nf4) = 1""")
 def clean_view(t):
-    flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.ratings), t.items))
+    flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.stored), t.items))
     flags = [F.col(c) for c in ("nf1", "nf2", "nf4")]
     table = flagged.select(
         "userId",
@@ -59,13 +59,13 @@ def numeric_coercion(t):
 
 @query("b4_strip_brackets", "f1", "SELECT userId, itemId, CAST(nf1 AS VARCHAR) || '.' AS isNoisy FROM f1")
 def strip_brackets(t):
-    stacked = cat.flag_category_noise(t.ratings).withColumn("text", F.format_string("[%d.]", "nf1"))
+    stacked = cat.flag_category_noise(t.stored).withColumn("text", F.format_string("[%d.]", "nf1"))
     return stacked.select("userId", "itemId", rel.strip_brackets("text").alias("isNoisy"))
 
 
 @query("b5_fix_merge_suffixes", "f1", "SELECT userId, itemId, rating, nf1 AS isNoisy FROM f1")
 def fix_merge_suffixes(t):
-    flagged = cat.flag_category_noise(t.ratings)
+    flagged = cat.flag_category_noise(t.stored)
     merged = flagged.select("userId", "itemId", F.col("rating").alias("rating_x"), F.col("nf1").alias("isNoisy_x"),
                             F.lit(0).alias("isNoisy_y"), F.col("rating").alias("rating_y"))
     return rel.fix_merge_suffixes(merged)
@@ -93,7 +93,7 @@ def genre_count(t):
     return t.items.select("itemId", rel.genre_count().cast("long").alias("n_genres"))
 
 
-@query("b10_rating_threshold", "ratings", """SELECT itemId, count_if(rating > 3) AS above, count_if(rating <= 3) AS not_above
+@query("b10_rating_threshold", "ratings", """SELECT itemId, CAST(count_if(rating > 3) AS BIGINT) AS above, CAST(count_if(rating <= 3) AS BIGINT) AS not_above
     FROM ratings GROUP BY itemId""")
 def rating_threshold(t):
     r = F.col("rating")
@@ -132,19 +132,19 @@ def ratings_left_items(t):
 
 @query("c3_ratings_left_groups", "ratings g2", "SELECT userId, itemId, rating, user_group FROM ratings LEFT JOIN g2 USING (userId)")
 def ratings_left_groups(t):
-    groups = coh.user_groups_by_quantile(t.ratings, t.items).select("userId", "user_group")
-    return t.ratings.join(groups, "userId", "left").select("userId", "itemId", "rating", "user_group")
+    groups = coh.user_groups_by_quantile(t.stored, t.items).select("userId", "user_group")
+    return t.stored.join(groups, "userId", "left").select("userId", "itemId", "rating", "user_group")
 
 
 @query("c4_category_join", "f1", "SELECT userId, itemId, rating, user_cat, item_cat FROM f1")
 def category_join(t):
-    return cat.flag_category_noise(t.ratings).select("userId", "itemId", "rating", "user_cat", "item_cat")
+    return cat.flag_category_noise(t.stored).select("userId", "itemId", "rating", "user_cat", "item_cat")
 
 
 @query("c5_recover_timestamp", "f1", "SELECT userId, itemId, rating, nf1, ts FROM f1")
 def recover_timestamp(t):
-    flagged = cat.flag_category_noise(t.ratings).select("userId", "itemId", "rating", "nf1")
-    return rel.recover_timestamp(flagged, t.ratings)
+    flagged = cat.flag_category_noise(t.stored).select("userId", "itemId", "rating", "nf1")
+    return rel.recover_timestamp(flagged, t.stored)
 
 
 @query("c6_cluster_join", "ratings clu", "SELECT userId, itemId, rating, cluster FROM ratings JOIN clu USING (userId)")
@@ -174,13 +174,13 @@ def attach_opt_out(t):
     from ratesift.operators.optout import attach_opt_out as attach
     from ratesift.plans.consensus import opt_out
 
-    return attach(t.ratings, opt_out(t)).select("userId", "itemId", "OptOut")
+    return attach(t.stored, opt_out(t)).select("userId", "itemId", "OptOut")
 
 
 @query("c11_update_flag", "ratings f4", "SELECT userId, itemId, rating, nf4 FROM f4")
 def update_flag(t):
-    noisy = fuz.flag_fuzzy_noise(t.ratings).where("nf4 = 1")
-    return rel.attach_flag(t.ratings.drop("ts"), noisy, "nf4")
+    noisy = fuz.flag_fuzzy_noise(t.stored).where("nf4 = 1")
+    return rel.attach_flag(t.stored.drop("ts"), noisy, "nf4")
 
 
 @query("c12_restrict_edges", "trust users", """SELECT truster, trusted, value FROM trust WHERE truster IN (SELECT userId FROM
@@ -248,7 +248,7 @@ def estimate_text(t):
     return t.ratings.select("userId", "itemId", s.estimate_from_text(text).alias("est"))
 
 
-@query("g9_bits_to_number", "items", """SELECT itemId, CAST(('0b' || bits)::VARCHAR[3:] AS VARCHAR) AS bits,
+@query("g9_bits_to_number", "items", """SELECT itemId, bits,
     CAST(bits[1] = '1' AS BIGINT) * 4 + CAST(bits[2] = '1' AS BIGINT) * 2 + CAST(bits[3] = '1' AS BIGINT) AS number FROM (
     SELECT itemId, CASE WHEN contains(genres, 'PROMO') THEN '1' ELSE '0' END || CASE WHEN contains(genres, 'ring') THEN '1'
     ELSE '0' END || CASE WHEN contains(genres, 'gear') THEN '1' ELSE '0' END AS bits FROM items)""")
@@ -264,7 +264,7 @@ def manhattan(t):
     return profile.select("userId", "itemId", s.r6(size).alias("size"))
 
 
-@query("g12_pearson_distance", "ratings", "SELECT userId, round(1 - corr(rating, ts), 6) AS distance FROM ratings GROUP BY userId HAVING count(*) > 2")
+@query("g12_pearson_distance", "ratings", "SELECT userId, CASE WHEN stddev_pop(rating) * stddev_pop(ts) > 0 THEN round(1 - covar_pop(rating, ts) / (stddev_pop(rating) * stddev_pop(ts)), 6) END AS distance FROM ratings GROUP BY userId HAVING count(*) > 2")
 def pearson_distance(t):
     found = t.ratings.groupBy("userId").agg(
         s.r6(s.pearson_distance(F.col("rating"), F.col("ts"))).alias("distance"), F.count(F.lit(1)).alias("n")

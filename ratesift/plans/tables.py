@@ -106,7 +106,7 @@ def likelihood_table(t):
 
 
 @query("a11_embedding_table", "", """SELECT vec_id AS id, len(embedding) AS dims,
-    round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 6) AS total FROM embeddings""")
+    round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""")
 def embedding_table(t):
     """The vectors as arrays of doubles, written and read back."""
     path = scratch_path(t.spark, "embeddings")

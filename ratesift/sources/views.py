@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ratesift.functions.scalars import NO_GENRES
+from ratesift.session import durable
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -56,6 +57,11 @@ class Views:
         log = self.rating_log.withColumn("ts_key", F.col("ts"))
         return latest_rating(log, ["ts_key", "l_orderkey", "l_linenumber"])
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The ratings written once to the shared folder, for queries that read them several times."""
+        return durable(self.ratings, "ratings")
+
     @cached_property
     def items(self) -> DataFrame:
         genres = F.when(F.col("p_size") == 50, F.lit(NO_GENRES)).otherwise(
