@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratesift.operators.metrics import ranking_metrics, user_hits
+from ratesift.operators.metrics import improved_share, improvement, ranking_metrics, user_hits
 from ratesift.operators.ordering import dense_index, global_rank, group_rank, top_per_group
 from ratesift.operators.vectors import VectorPlan, block_top_k
 from ratesift.session import durable
@@ -181,11 +181,36 @@ def recommend_by_group(train: DataFrame, test: DataFrame, clusters: DataFrame, g
     for group in groups:
         own = train.where(F.col("cluster") == group).drop("cluster")
         truth = test.where(F.col("cluster") == group).drop("cluster")
-        vectors = durable(factor_vectors(fit_factors(own)), "factors")
-        seen = own.select(F.col("userId").alias("id"), F.col("itemId").alias("other"))
-        users = vectors.where("kind = 'u'").select("id", "vec")
-        items = vectors.where("kind = 'i'").select("id", "vec")
-        recs = top_k_products(users, items, k, seen).select(F.col("id").alias("userId"), F.col("other").alias("itemId"), "rank")
-        metrics = ranking_metrics(user_hits(recs, truth, k), k)
+        metrics = ranking_metrics(factor_hits(own, truth, k), k)
         results.append(metrics.select(F.lit(group).alias("cluster"), "ndcg", "precision", "recall", "map", "n_users"))
     return reduce(DataFrame.unionByName, results)
+
+
+def factor_hits(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
+    """Per-user hits of a factor model trained on ``train``."""
+    vectors = durable(factor_vectors(fit_factors(train)), "factors")
+    seen = train.select(F.col("userId").alias("id"), F.col("itemId").alias("other"))
+    recs = top_k_products(vectors.where("kind = 'u'").select("id", "vec"), vectors.where("kind = 'i'").select("id", "vec"), k, seen)
+    return user_hits(recs.select(F.col("id").alias("userId"), F.col("other").alias("itemId"), "rank"), test, k)
+
+
+def cut_sweep(train: DataFrame, test: DataFrame, vectors: DataFrame, cuts: tuple[int, ...], regroup, goal: float = 80.0) -> DataFrame:
+    """Per cut: share of users whose nDCG improves when every group gets its own model; stops once the goal is met."""
+    def gain(hits: DataFrame) -> DataFrame:
+        return hits.select("userId", (F.col("dcg") / F.col("idcg")).alias("ndcg"))
+
+    base = durable(gain(factor_hits(train, test)), "base")
+    outcomes = []
+    for k in cuts:
+        groups = regroup(vectors, (k,)).select("userId", F.col(f"group_{k}").alias("cluster"))
+        own, truth = durable(train.join(groups, "userId"), "own"), durable(test.join(groups, "userId"), "truth")
+        parts = [
+            gain(factor_hits(own.where(F.col("cluster") == g).drop("cluster"), truth.where(F.col("cluster") == g).drop("cluster")))
+            for g in range(k)
+        ]
+        compared = improvement(base, reduce(DataFrame.unionByName, parts), "ndcg")
+        outcome = durable(improved_share(compared, goal).withColumn("cut", F.lit(k)), "cut")
+        outcomes.append(outcome)
+        if outcome.first()["reached"] == 1:
+            break
+    return reduce(DataFrame.unionByName, outcomes).select("cut", "percent_improved", "reached")

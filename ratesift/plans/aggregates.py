@@ -16,7 +16,8 @@ from ratesift.plans.relational import clusters
 
 @query("d1_group_counts", "th", """SELECT 'user' AS side, userId AS id, CAST(count_if(rating < k) AS BIGINT) AS w,
     CAST(count_if(rating >= k AND rating < v) AS BIGINT) AS a, CAST(count_if(rating >= v) AS BIGINT) AS s FROM ratings, th GROUP BY userId UNION ALL
-    SELECT 'item', itemId, count_if(rating < k), count_if(rating >= k AND rating < v), count_if(rating >= v)
+    SELECT 'item', itemId, CAST(count_if(rating < k) AS BIGINT), CAST(count_if(rating >= k AND rating < v) AS BIGINT),
+    CAST(count_if(rating >= v) AS BIGINT)
     FROM ratings, th GROUP BY itemId""")
 def group_counts(t):
     k, v = cat.cuts(t.stored)
