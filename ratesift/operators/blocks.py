@@ -154,8 +154,8 @@ def _sides(rows):
 
 def _table(**columns) -> pa.RecordBatch:
     size = len(columns["key"])
-    zeros = {"sim": np.zeros(size), "val": np.zeros(size)}
-    arrays = [pa.array(columns.get(n, zeros.get(n, np.zeros(size, dtype=np.int64)))) for n in OUT_NAMES]
+    kinds = {n: np.float64 if n in ("sim", "val") else np.int64 for n in OUT_NAMES}
+    arrays = [pa.array(np.asarray(columns.get(n, np.zeros(size)), dtype=kind)) for n, kind in kinds.items()]
     return pa.RecordBatch.from_arrays(arrays, OUT_NAMES)
 
 
@@ -173,9 +173,9 @@ def _reduce_keys(matrix: _PairMatrix, sim: np.ndarray) -> Iterator[pa.RecordBatc
     if matrix.plan.reduce == "summary":
         yield _table(
             key=lid,
-            neighbours=(count > 0).sum(axis=1).astype(np.int64),
-            shared=count.sum(axis=1).astype(np.int64),
-            best_shared=count.max(axis=1, initial=0).astype(np.int64),
+            neighbours=(count > 0).sum(axis=1),
+            shared=count.sum(axis=1),
+            best_shared=count.max(axis=1, initial=0),
         )
     else:
         for row in range(0, len(lid), 256):
@@ -183,7 +183,7 @@ def _reduce_keys(matrix: _PairMatrix, sim: np.ndarray) -> Iterator[pa.RecordBatc
             values = sim[row : row + 256][a, b]
             keep = _first_k(a, values, rid[b], matrix.plan.k)
             a, b = a[keep], b[keep]
-            yield _table(key=lid[row + a], other=rid[b], sim=values[keep], shared=count[row + a, b].astype(np.int64))
+            yield _table(key=lid[row + a], other=rid[b], sim=values[keep], shared=count[row + a, b])
 
 
 def _reduce_queries(matrix: _PairMatrix, sim: np.ndarray, left, right) -> Iterator[pa.RecordBatch]:

@@ -173,7 +173,7 @@ def boosting(t):
     def assembled(rows):
         # The encoded genre is a number: its category list must not follow it into the trees.
         number = F.col("genres_target").alias("genres_target", metadata={})
-        return assembler.transform(encode.transform(rows).select("userId", "itemId", *columns[:-1], number, "label"))
+        return assembler.transform(encode.transform(rows).select(*columns[:-1], number, "label"))
 
     train = durable(assembled(con.labelled(table)).select("features", "label"), "train")
     # Iterations, depth, rate and seed of the boosting run.
