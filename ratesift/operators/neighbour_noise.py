@@ -80,8 +80,11 @@ def two_decimals(est):
     return half_even(est * 100) / 100
 
 
-def flag_neighbour_noise(predictions: DataFrame, threshold: float = 0.05, name: str = "nf3") -> DataFrame:
-    """Append the flag: the two-decimal estimate misses the rating by more than a share of the rating range."""
-    spread = predictions.agg((F.max("rating") - F.min("rating"))).scalar()
+def flag_neighbour_noise(predictions: DataFrame, test: DataFrame, threshold: float = 0.05, name: str = "nf3") -> DataFrame:
+    """Append the flag: the two-decimal estimate misses the rating by more than a share of the test ratings' range.
+
+    The range comes from the plain test ratings, so that it does not repeat the prediction.
+    """
+    spread = test.agg(F.max("rating") - F.min("rating")).scalar()
     miss = ratio(F.abs(F.col("rating") - two_decimals(F.col("est"))), spread)
     return predictions.withColumn(name, flag(miss > threshold))

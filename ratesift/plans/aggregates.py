@@ -58,7 +58,7 @@ def count_quantiles(t):
 
 @query("d6_tier_medians", "tm", "SELECT tier, median_coherence FROM tm")
 def tier_medians(t):
-    medians = coh.tier_medians(coh.tiered_coherence(t.stored, t.items))
+    medians = coh.tier_medians(coh.with_tiers(coh.coherence(t.stored, t.items, normalised=True)))
     return medians.select("tier", r6(F.col("median_coherence")).alias("median_coherence"))
 
 

@@ -47,7 +47,8 @@ def opt_out(t):
 
 @query("j1_merge_filters", "merged", "SELECT userId, itemId, nf1, nf2, nf3, nf4 FROM merged")
 def merge_filters(t):
-    third = nei.flag_neighbour_noise(nei.knn_with_means(*split70(t)), con.WIDE_MISS)
+    train, test = split70(t)
+    third = nei.flag_neighbour_noise(nei.knn_with_means(train, test), test, con.WIDE_MISS)
     parts = [
         (cat.flag_category_noise(t.stored), "nf1"),
         (coh.flag_coherence_noise(t.stored, t.items), "nf2"),

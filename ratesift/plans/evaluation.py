@@ -15,6 +15,7 @@ from ratesift.operators.relational import clean_view
 from ratesift.plans.noise import split70
 from ratesift.plans.registry import cte, query
 from ratesift.plans.relational import clusters
+from ratesift.session import durable
 
 cte("pop", """SELECT itemId, CAST(count(*) AS DOUBLE) AS prediction FROM train GROUP BY itemId""", ("train",))
 cte(
@@ -82,8 +83,11 @@ cte("dn", "SELECT e.userId, coalesce(dcg, 0) AS dcg, coalesce(idcg, 0) AS idcg F
 
 
 def popular_recommendations(t):
+    """Training and test ratings and the ten most popular unseen items per user, written once per query."""
     train, test = split70(t)
-    return train, test, rec.recommend_popular(train, 10)
+    if not hasattr(t, "recs"):
+        t.recs = durable(rec.recommend_popular(train, 10), "recs")
+    return train, test, t.recs
 
 
 def per_user_hits(t):

@@ -236,22 +236,22 @@ def nf1_paper(t):
 
 @query("i2a_coherence", "coh1", "SELECT userId, n_ratings, coherence FROM coh1")
 def coherence(t):
-    return coh.coherence(t.stored, t.items)
+    return coh.coherence(t.ratings, t.items)
 
 
 @query("i2b_user_group", "g1", "SELECT userId, n_ratings, coherence, user_group FROM g1")
 def user_group(t):
-    return coh.user_groups_by_thirds(t.stored, t.items)
+    return coh.user_groups(t.ratings, t.items, "thirds")
 
 
 @query("i2c_coherence_v2", "coh2", "SELECT userId, n_ratings, coherence FROM coh2")
 def coherence_v2(t):
-    return coh.coherence(t.stored, t.items, normalised=True)
+    return coh.coherence(t.ratings, t.items, normalised=True)
 
 
 @query("i2d_user_group_v2", "g2", "SELECT userId, n_ratings, coherence, user_group FROM g2")
 def user_group_v2(t):
-    return coh.user_groups_by_quantile(t.stored, t.items)
+    return coh.user_groups(t.ratings, t.items)
 
 
 @query("i2f_rnd_fraction", "f2a", "SELECT userId, itemId, rating, user_group, round(rnd, 6) AS rnd, nf2 FROM f2a")
@@ -287,8 +287,9 @@ def knn_with_means_pearson(t):
 
 @query("i3b_nf3", "f3", "SELECT userId, itemId, rating, round(est, 6) AS est, nf3, nf3_1 FROM f3")
 def nf3(t):
-    predicted = nei.knn_with_means(*split70(t))
-    flagged = nei.flag_neighbour_noise(nei.flag_neighbour_noise(predicted, 0.05), 0.4, "nf3_1")
+    train, test = split70(t)
+    predicted = nei.knn_with_means(train, test)
+    flagged = nei.flag_neighbour_noise(nei.flag_neighbour_noise(predicted, test, 0.05), test, 0.4, "nf3_1")
     return flagged.select("userId", "itemId", "rating", r6(F.col("est")).alias("est"), "nf3", "nf3_1")
 
 

@@ -132,7 +132,7 @@ def ratings_left_items(t):
 
 @query("c3_ratings_left_groups", "ratings g2", "SELECT userId, itemId, rating, user_group FROM ratings LEFT JOIN g2 USING (userId)")
 def ratings_left_groups(t):
-    groups = coh.user_groups_by_quantile(t.stored, t.items).select("userId", "user_group")
+    groups = coh.user_groups(t.stored, t.items).select("userId", "user_group")
     return t.stored.join(groups, "userId", "left").select("userId", "itemId", "rating", "user_group")
 
 

@@ -85,24 +85,24 @@ class Views:
         """Links between successive orders of a nation.
 
         Nations are few, so a window per nation would put a 25th of all orders (or more) into one task. The
-        window runs per (nation, month) instead; the first order of a month takes its predecessor from a small
-        table of each month's last customer.
+        window runs per (nation, day) instead; the first order of a day takes its predecessor from a small
+        table of each day's last customer.
         """
         joined = (
             self.table("orders")
             .select("o_orderkey", "o_custkey", "o_orderdate")
             .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-            .withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+            .withColumn("day", F.to_date("o_orderdate"))
         )
         order = F.struct("o_orderdate", "o_orderkey")
-        last = joined.groupBy("c_nationkey", "month").agg(F.max_by("o_custkey", order).alias("last_user"))
+        last = joined.groupBy("c_nationkey", "day").agg(F.max_by("o_custkey", order).alias("last_user"))
         carried = last.select(
             "c_nationkey",
-            "month",
-            F.lag("last_user").over(Window.partitionBy("c_nationkey").orderBy("month")).alias("carry"),
+            "day",
+            F.lag("last_user").over(Window.partitionBy("c_nationkey").orderBy("day")).alias("carry"),
         )
-        inside = Window.partitionBy("c_nationkey", "month").orderBy("o_orderdate", "o_orderkey")
-        linked = joined.withColumn("prev", F.lag("o_custkey").over(inside)).join(carried, ["c_nationkey", "month"])
+        inside = Window.partitionBy("c_nationkey", "day").orderBy("o_orderdate", "o_orderkey")
+        linked = joined.withColumn("prev", F.lag("o_custkey").over(inside)).join(carried, ["c_nationkey", "day"])
         return (
             linked.select(
                 F.col("o_custkey").alias("truster"),
