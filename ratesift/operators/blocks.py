@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratesift.session import ship_package
 
 OUT = "key long, dim long, other long, sim double, val double, shared long, best_shared long, neighbours long"
 OUT_NAMES = ["key", "dim", "other", "sim", "val", "shared", "best_shared", "neighbours"]
@@ -258,7 +257,6 @@ def pair_statistics(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None
     ``queries`` and ``candidates`` (same columns) ask, per query row, for the candidate keys of its dimension.
     Results of different block pairs still have to be merged by the caller.
     """
-    ship_package(facts.sparkSession)
     n_keys = facts.agg(F.ceil(F.count_distinct("key") / plan.block).alias("m")).select(
         F.greatest(F.col("m"), F.lit(1)).cast("long").alias("m")
     )

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,17 +52,3 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, for the few operators with Arrow functions."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="ratesift-")) / "ratesift"
-        packed = shutil.make_archive(str(archive), "zip", root_dir=root.parent, base_dir=root.name)
-        spark.sparkContext.addPyFile(packed)
-        _SHIPPED.add(app)
