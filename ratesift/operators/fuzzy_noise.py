@@ -84,13 +84,13 @@ def eligible(params: FuzzyNoise = FuzzyNoise()) -> Column:
     def variable(prefix: str) -> Column:
         return F.greatest(*_triple(prefix)) < VARIABLE_BELOW
 
-    return (F.round(distance, 8) < ELIGIBLE_DISTANCE) & ~variable("u") & ~variable("i")
+    return (F.round(distance, 9) < ELIGIBLE_DISTANCE) & ~variable("u") & ~variable("i")
 
 
 def noise_degree() -> Column:
     """The smaller of the rating's distances to its user's and its item's profile."""
     return F.round(
-        F.least(manhattan(_triple("u"), _triple("r")), manhattan(_triple("i"), _triple("r"))), 8
+        F.least(manhattan(_triple("u"), _triple("r")), manhattan(_triple("i"), _triple("r"))), 9
     )
 
 

@@ -135,11 +135,11 @@ for name, key, p in (("fu", "userId", "u"), ("fi", "itemId", "i")):
 
 def _fuzzy(distance: str) -> str:
     return f"""SELECT userId, itemId, rating, eligible, degree, CASE WHEN eligible = 1 AND degree >= 1 THEN 1 ELSE 0 END
-    AS nf4 FROM (SELECT userId, itemId, rating, CASE WHEN round({distance}, 8) < 1
+    AS nf4 FROM (SELECT userId, itemId, rating, CASE WHEN round({distance}, 9) < 1
     AND NOT (u_low < 0.01 AND u_medium < 0.01 AND u_high < 0.01)
     AND NOT (i_low < 0.01 AND i_medium < 0.01 AND i_high < 0.01) THEN 1 ELSE 0 END AS eligible,
     round(least(abs(u_low - r_low) + abs(u_medium - r_medium) + abs(u_high - r_high),
-    abs(i_low - r_low) + abs(i_medium - r_medium) + abs(i_high - r_high)), 8) AS degree
+    abs(i_low - r_low) + abs(i_medium - r_medium) + abs(i_high - r_high)), 9) AS degree
     FROM fr JOIN fu USING (userId) JOIN fi USING (itemId))"""
 
 

@@ -36,6 +36,8 @@ NEEDS: dict[str, tuple[str, ...]] = {"ratings": ("log",), "rg": ("ratings", "ite
 
 def cte(name: str, text: str, needs: tuple[str, ...] = ()) -> None:
     """Add a shared WITH entry; ``needs`` names the entries it reads."""
+    if name in CTES:
+        raise ValueError(f"duplicate entry {name}")
     CTES[name], NEEDS[name] = text, needs
 
 
