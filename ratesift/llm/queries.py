@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratesift.llm.columns import table, values
+from ratesift.llm.decontamination import contaminated
 from ratesift.llm.line_dedup import drop_common_lines
+from ratesift.llm.piecewise_hash import fingerprints
 from ratesift.llm.ring_sharding import shard_rows
+from ratesift.llm.sentencepiece_codec import encode_documents
 from ratesift.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +29,22 @@ def corpus_query(name: str, sql: str | None = None):
     return add
 
 
+@corpus_query("op1_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode_documents(table(spark, folder, "documents"))
+    return coded.select("doc_id", "n_chars", "n_ids", "ids", "round_trip", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@corpus_query("op2_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@corpus_query("op3_piecewise_hash")
+def piecewise_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
 @corpus_query("op4_ring_sharding")
 def ring_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"), shards=8)
