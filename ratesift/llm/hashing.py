@@ -81,7 +81,7 @@ class Words:
         terms = FOLDED_VALUE[data[inside]] * powers(int(lengths.max()))[place]
         self.hashes = mix(np.add.reduceat(terms, begin) + lengths.astype(U) * STEP)
         for n in prefixes:
-            self.prefixes.append(mix(np.add.reduceat(np.where(place < n, terms, U(0)), begin) + U(n) * STEP))
+            self.prefixes.append(mix(np.add.reduceat(np.where(place < n, terms, U(0)), begin) ^ U(n)))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k words from every word on, and whether those k words are in one text."""

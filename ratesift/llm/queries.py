@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ratesift.llm.columns import table, values
 from ratesift.llm.decontamination import contaminated
+from ratesift.llm.jaccard_join import jaccard_components
 from ratesift.llm.line_dedup import drop_common_lines
 from ratesift.llm.piecewise_hash import fingerprints
 from ratesift.llm.ring_sharding import shard_rows
 from ratesift.llm.sentencepiece_codec import encode_documents
+from ratesift.llm.toxicity import toxicity
 from ratesift.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +68,28 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@corpus_query("op8_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@corpus_query("op9_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id
+        AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+        GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM i UNION ALL SELECT b, a FROM i),
+r AS (SELECT DISTINCT a AS id, a AS reached FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT doc_id, len(s) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM s LEFT JOIN (SELECT id, min(reached) AS c FROM r GROUP BY id) ON doc_id = id""")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 #: Hosts, path prefixes and verdicts of the rules.
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
