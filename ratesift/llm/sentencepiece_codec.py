@@ -2,13 +2,13 @@
 
 The vocabulary is a byte-pair model. A token sequence is that model's encoding exactly if every two neighbours are: if
 merging the characters of two tokens by themselves gives those two tokens back. So the search keeps, for each of the
-last positions (as many as the longest piece has characters), the one token that may end there: the longest piece
-whose neighbour before it is compatible. Backpointers are kept from the last committed boundary on; whenever those of
-all positions in the window meet in one boundary, the ids up to it are final and leave memory.
+last positions (as many as the longest piece has characters), the one token that may end there: the piece that ends
+there and whose neighbour before it is compatible. Backpointers are kept from the last committed boundary
+on; whenever those of all positions in the window meet in one boundary, the ids up to it are final and leave memory.
 
-No piece of the vocabulary holds a word's end followed by a blank (this is checked on loading; else no use is made of
-it), so all paths meet at each such place; words between such places are looked up among those encoded before. The
-table of encoded words is emptied when it is full, which costs time only.
+All paths meet wherever no piece holds the two characters around a place side by side. For blanks' marks and
+punctuation after letters that is read off the vocabulary on loading; the spans between such places are looked up
+among those encoded before. The table of encoded spans is emptied when it is full, which costs time only.
 
 Characters outside the vocabulary become byte tokens. Decoding turns blanks' marks into blanks, joins bytes and drops
 the blank that encoding puts first; broken bytes become U+FFFD.
@@ -19,9 +19,12 @@ rows are encoded each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from array import array
+import string
+import sys
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,16 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A vocabulary travels with the tasks; a larger one is refused.
 MAX_PIECES = 1_000_000
-LONGEST_KNOWN, MOST_KNOWN = 48, 400_000
+LONGEST_KNOWN, MOST_KNOWN = 48, 1_000_000
 OUT = "doc_id long, n_chars long, n_ids long, ids array<int>, decoded string, round_trip boolean"
 
 
+def kept_by_process(key: str) -> dict:
+    """A table that outlives a task where Spark reuses the Python worker for the next one."""
+    holder = sys.modules.setdefault("ratesift_kept_by_process", ModuleType("ratesift_kept_by_process"))
+    return holder.__dict__.setdefault(key, {})
+
+
 class Vocabulary:
     """Pieces, ranks and byte tokens of a byte-pair SentencePiece model."""
 
@@ -58,8 +67,15 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
             self.pieces.append("" if model.is_control(i) else piece)
+        self.name = hashlib.sha256("\n".join(f"{p} {s}" for p, s in self.scores.items()).encode()).hexdigest()
         self.longest = max(map(len, self.ids))
-        self.word_ends_meet = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        #: Every start of a piece, and whether it is a piece.
+        self.starts = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        after_word = {y for p in self.ids for x, y in zip(p, p[1:]) if x.isalnum()}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in after_word)
+        ends = any(x != MARK and y == MARK for p in self.ids for x, y in zip(p, p[1:]))
+        words = f"{MARK}*[^\\W_]+(?=[{MARK}{marks}]|$)|{MARK}*[^{MARK}]+|{MARK}+"
+        self.spans = None if ends else re.compile(words)
 
     def merged(self, text: str) -> list[str]:
         """A short text's tokens by merging: best score first, then leftmost."""
@@ -78,55 +94,60 @@ class Vocabulary:
 class StreamingEncoder:
     """Feed marked text in pieces of any size; ids come out as they become final."""
 
-    def __init__(self, vocabulary: Vocabulary, compatible: dict | None = None):
-        self.v = vocabulary
-        self.compatible = {} if compatible is None else compatible
+    def __init__(self, vocabulary: Vocabulary):
+        self.v, self.known_pairs = vocabulary, 0
+        self.compatible: dict[str, dict[str, bool]] = {}
         self._restart()
 
     def _restart(self) -> None:
-        self.tail = ""  # the last characters, up to the longest piece
         self.anchor = ""  # the last committed token
-        self.tokens: list[str] = []  # by position after the last committed boundary: the token that ends there
-        self.checked = 0
+        self.text = ""  # from the last committed boundary on
+        self.tokens: list[str | None] = []  # by position: the token that ends there
+        self.at = 0  # the first position from which no token has been tried
 
     def _fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.compatible.get(key)
-        if known is None:
-            if len(self.compatible) >= MOST_KNOWN:
-                self.compatible.clear()
-            known = self.compatible[key] = self.v.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        ids, longest = self.v.ids, self.v.longest
-        for c in text:
-            self.tail = (self.tail + c)[-longest:]
-            end = len(self.tokens)
-            for n in range(min(len(self.tail), end + 1), 0, -1):
-                piece = self.tail[-n:]
-                before = self.tokens[end - n] if end >= n else self.anchor
-                if (n == 1 or piece in ids) and self._fits(before, piece):
-                    self.tokens.append(piece)
+        if self.known_pairs >= MOST_KNOWN:
+            self.compatible.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        good = self.v.merged(left + right) == ([left, right] if left else [right])
+        self.compatible.setdefault(left, {})[right] = good
+        return good
+
+    def _search(self, upto: int) -> None:
+        """Try all tokens that start before ``upto``."""
+        text, tokens, starts, longest = self.text, self.tokens, self.v.starts, self.v.longest
+        for start in range(self.at, upto):
+            left = tokens[start - 1] if start else self.anchor
+            fits = self.compatible.get(left, {})
+            for end in range(start + 1, min(start + longest, len(text)) + 1):
+                piece = text[start:end]
+                whole = starts.get(piece)
+                if whole is None and end > start + 1:
                     break
-            else:
-                raise ValueError("no token ends here")
-            if len(self.tokens) - self.checked >= 2 * longest:
-                out += self._commit()
-        return out
+                if whole or end == start + 1:
+                    good = fits.get(piece)
+                    if good or good is None and self._fits(left, piece):
+                        tokens[end - 1] = piece
+                if whole is None:
+                    break
+        self.at = max(self.at, upto)
 
-    def _commit(self) -> list[int]:
-        """Ids up to the boundary in which the paths of all positions in the window meet."""
-        size = len(self.tokens)
-        self.checked = size
-        ends = set(range(max(size - self.v.longest, 0) + 1, size + 1))
+    def feed(self, text: str) -> list[int]:
+        self.text += text
+        self.tokens += [None] * len(text)
+        self._search(len(self.text) - self.v.longest + 1)
+        return self._take(self._meeting()) if self.at >= 2 * self.v.longest else []
+
+    def _meeting(self) -> int:
+        """The boundary in which the paths of all positions meet from which the search goes on."""
+        window = range(self.at + 1, min(self.at + self.v.longest, len(self.tokens)) + 1)
+        ends = {self.at} | {e for e in window if self.tokens[e - 1] is not None}
         while len(ends) > 1:
-            at = max(ends)
-            ends.remove(at)
-            ends.add(at - len(self.tokens[at - 1]))
-        boundary = ends.pop()
-        return self._take(boundary)
+            last = max(ends)
+            ends.remove(last)
+            ends.add(last - len(self.tokens[last - 1]))
+        return ends.pop()
 
     def _take(self, boundary: int) -> list[int]:
         path, at = [], boundary
@@ -135,8 +156,7 @@ class StreamingEncoder:
             at -= len(path[-1])
         if path:
             self.anchor = path[0]
-        del self.tokens[:boundary]
-        self.checked = len(self.tokens)
+        self.text, self.tokens, self.at = self.text[boundary:], self.tokens[boundary:], self.at - boundary
         out: list[int] = []
         for piece in reversed(path):
             known = self.v.ids.get(piece)
@@ -144,7 +164,8 @@ class StreamingEncoder:
         return out
 
     def close(self) -> list[int]:
-        out = self._take(len(self.tokens))
+        self._search(len(self.text))
+        out = self._take(len(self.text))
         self._restart()
         return out
 
@@ -153,28 +174,25 @@ class Codec:
     """Whole texts to ids and back."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known, self.encoder = vocabulary, {}, StreamingEncoder(vocabulary)
-        self.spans = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.v, self.encoder = vocabulary, StreamingEncoder(vocabulary)
+        self.known: dict[str, bytes] = kept_by_process(f"spans of {vocabulary.name}")
         self.spelled = [p.replace(MARK, " ") for p in vocabulary.pieces]
 
-    def _span(self, span: str) -> list[int]:
-        ids = self.encoder.feed(span) + self.encoder.close()
+    def _span(self, span: str) -> bytes:
+        ids = np.array(self.encoder.feed(span) + self.encoder.close(), np.int32).tobytes()
         if len(span) <= LONGEST_KNOWN:
             if len(self.known) >= MOST_KNOWN:
                 self.known.clear()
             self.known[span] = ids
         return ids
 
-    def encode(self, text: str) -> array:
-        out = array("i")
-        if not text:
-            return out
-        marked = MARK + text.replace(" ", MARK)
-        known = self.known
-        for span in self.spans.findall(marked) if self.v.word_ends_meet else [marked]:
-            ids = known.get(span)
-            out.extend(self._span(span) if ids is None else ids)
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        out = bytearray()
+        if text:
+            marked, known = MARK + text.replace(" ", MARK), self.known
+            for span in self.v.spans.findall(marked) if self.v.spans else [marked]:
+                out += known.get(span) or self._span(span)
+        return np.frombuffer(out, np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         byte_of, parts, held = self.v.byte_of, [], bytearray()
@@ -203,10 +221,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 part = batch.slice(start, 256)
                 texts = [t or "" for t in part["text"].to_pylist()]
                 encoded = [codec.encode(t) for t in texts]
-                decoded = [codec.decode(e) for e in encoded]
+                decoded = [codec.decode(e.tolist()) for e in encoded]
                 offsets = np.zeros(len(texts) + 1, np.int32)
                 np.cumsum([len(e) for e in encoded], out=offsets[1:])
-                flat = np.concatenate([np.frombuffer(e, np.int32) for e in encoded] or [np.zeros(0, np.int32)])
+                flat = np.concatenate(encoded)
                 yield pa.record_batch([
                     part["doc_id"].cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
