@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from ratesift.session import durable
 
 
+#: So many ids at most (of 8 bytes) are broadcast to pick rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose ``id`` is (left_semi) or isn't (left_anti) among ``ids``, a stored table of one column."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = ids.toDF("picked_id")
+    return rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("picked_id"), how)
+
+
 def stars(rows: DataFrame, key: str, ids: list[str]) -> DataFrame:
     """(key, center_..., ...) for every row whose key others share: the row and the first row of its group.
 

@@ -92,8 +92,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where("key.full").select("doc_id", "text_hash", "key.pos", "key.k1", "key.k2", first.alias("first"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
-    """(doc_id, kept, n_lines, n_dropped): every text without the lines found in ``min_docs`` documents or more."""
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, kept, n_lines, n_dropped): every text without the lines found in ``min_docs`` documents or more.
+
+    ``keep`` names further columns of ``docs`` to carry along.
+    """
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     spark = docs.sparkSession
     path = scratch_path(spark, "lines")
     _lines(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))).write.partitionBy("batch").parquet(path)
@@ -104,14 +108,14 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) ->
     common = durable(runs.counts().where(F.col("n") >= min_docs).select(*KEY), "common_lines")
     runs.close()
     dropped = lines.join(common, KEY, "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"), carried.alias("carried"))
     cut = dropped.select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "dropped")
     rows = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_hash") == F.col("cut_hash")), "left")
-    rows = rows.select("doc_id", "text", "dropped", F.split("text", "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "text", "dropped", "carried", F.split("text", "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     return rows.select(
         "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), *[F.col(f"carried.{c}").alias(c) for c in keep or []],
     )

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ratesift.llm.columns import table, values
 from ratesift.llm.decontamination import contaminated
 from ratesift.llm.jaccard_join import jaccard_components
 from ratesift.llm.line_dedup import drop_common_lines
+from ratesift.llm.passage_dedup import repeated_passages
 from ratesift.llm.piecewise_hash import fingerprints
+from ratesift.llm.pseudonyms import pseudonymise
 from ratesift.llm.ring_sharding import shard_rows
 from ratesift.llm.sentencepiece_codec import encode_documents
 from ratesift.llm.toxicity import toxicity
@@ -68,6 +71,22 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: The query's key; a real one is secret and comes from the caller.
+PSEUDONYM_KEY = "corpus queries"
+
+
+@corpus_query("op6_pseudonyms")
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold personal values, with pseudonyms in their place; all others stay as they are."""
+    changed = pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY).where("n_replaced > 0")
+    return changed.select("doc_id", "n_replaced", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
+
+
+@corpus_query("op7_passage_dedup")
+def passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 @corpus_query("op8_toxicity")
 def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -109,3 +128,8 @@ f AS (SELECT i, arg_max(rule_host || rule_path, length(rule_host || rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (i)""")
 def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), values(spark, URL_RULES, "host, path, verdict"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
