@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratesift.functions.scalars import bits_to_number, flag, genre_array
 from ratesift.operators.relational import distinct_genres
 
+# Column names of the ratings and their features.
 BASE = ["userId", "itemId", "rating", "ts"]
 FLAG_FEATURES = ["nf1", "nf2", "nf3", "nf4"]
 VALIDATION_FEATURES = ["Delta_GV_Y", "Delta_SERENDIPITY_X"]

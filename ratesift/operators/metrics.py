@@ -248,7 +248,7 @@ def auc(scored: DataFrame, keys: list[str] | None = None, label: str = "label",
     below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     wins = counts.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
     return wins.groupBy(*keys).agg(
-        F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"),
+        F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
         (F.sum("pos") + F.sum("neg")).alias("size"),
     )
 

@@ -12,6 +12,8 @@ from ratesift.operators.ordering import dense_index, global_rank, group_rank, to
 from ratesift.operators.vectors import VectorPlan, block_top_k
 from ratesift.session import durable
 
+MAX_GROUPS = 1000
+
 
 def popular_items(train: DataFrame) -> DataFrame:
     """Items by number of ratings: itemId, prediction, place (1-based, ties by id)."""
@@ -99,7 +101,7 @@ def negative_draws(positives: DataFrame, catalogue: DataFrame, seen: DataFrame,
     thresholds = ranked.select("userId", (F.col("idx") - F.col("j") + 1).alias("value"))
     counts = ranked.select("userId", "n_seen").distinct()
     free = size - F.coalesce("n_seen", F.lit(0))
-    start = (F.col("userId") * 7919 + F.col("itemId") * 104729 + F.col("instance") * 31 + seed) % 1000003
+    start = F.col("userId") * 7919 + F.col("itemId") * 104729 + F.col("instance") * 31 + seed
     drawn = (
         positives.select("instance", "userId", "itemId")
         .join(counts, "userId", "left")
@@ -174,8 +176,14 @@ def top_k_products(left: DataFrame, right: DataFrame, k: int, seen: DataFrame |
     return top_per_group(best, ["id"], [F.desc("score"), F.asc("other")], k)
 
 
-def recommend_by_group(train: DataFrame, test: DataFrame, clusters: DataFrame, groups, k: int = 10) -> DataFrame:
-    """Per cluster: fit on its users' ratings, recommend to them, evaluate on their test ratings."""
+def recommend_by_group(train: DataFrame, test: DataFrame, clusters: DataFrame, k: int = 10) -> DataFrame:
+    """Per cluster: fit on its users' ratings, recommend to them, evaluate on their test ratings.
+
+    Every cluster costs a fit, so more than MAX_GROUPS clusters are refused.
+    """
+    groups = [r.cluster for r in clusters.select("cluster").distinct().orderBy("cluster").limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} clusters")
     results = []
     train, test = durable(train.join(clusters, "userId")), durable(test.join(clusters, "userId"))
     for group in groups:

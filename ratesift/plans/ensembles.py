@@ -195,7 +195,7 @@ def isolation_forest(t):
     return isolation_scores(t).select("userId", "itemId", "score", iso.anomaly_flag(F.col("score")).alias("isNoisy"))
 
 
-@query("l8_anomaly_count", "f4", """SELECT CASE WHEN degree >= 0.8 THEN 1 ELSE 0 END AS anomaly, count(*) AS n FROM f4 GROUP BY 1""")
+@query("l8_anomaly_count", "f4", """SELECT CASE WHEN degree > 0.8 THEN 1 ELSE 0 END AS anomaly, count(*) AS n FROM f4 GROUP BY 1""")
 def anomaly_count(t):
     return iso.anomaly_count(fuz.flag_fuzzy_noise(t.stored), "degree", iso.ANOMALY)
 

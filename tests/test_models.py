@@ -112,3 +112,17 @@ def test_group_swap_keeps_sizes(frame, spark):
     assert new_train.count() == train.count() and new_test.count() == test.count()
     assert new_train.where("userId < 2").groupBy("userId").count().where("count <> 3").count() == 0
     assert new_train.select("userId", "itemId").intersect(new_test.select("userId", "itemId")).count() == 0
+
+
+def test_scores_at_the_threshold_are_no_anomalies(spark):
+    scored = spark.createDataFrame([(0.8,), (0.81,), (0.2,)], "score double")
+    assert {r.anomaly: r.n for r in iso.anomaly_count(scored).collect()} == {0: 2, 1: 1}
+
+
+def test_negatives_reach_a_catalogue_above_a_million(spark):
+    from ratesift.operators import recommend
+
+    items = spark.range(1_200_000).withColumnRenamed("id", "itemId")
+    positives = spark.range(300).selectExpr("id AS instance", "id AS userId", "id * 3557 AS itemId")
+    found = [r.itemId for r in recommend.negative_draws(positives, items, positives, 1).collect()]
+    assert len(found) == 300 and max(found) > 1_100_000
