@@ -4,7 +4,7 @@ A line's key is the line without blanks at both ends and with A to Z lower-cased
 Documents arrive in batches. A batch is merge-anti-joined with the runs so far: keys that are already found in enough
 documents need no more counting. What is left is counted and written as a new run, sorted by key, on level 0. Once a
 level holds ``fanout`` runs, they are merged into one run of the next level, so the number of runs stays logarithmic.
-Runs are bucketed tables: joins and merges of runs need no shuffle.
+Counting over runs reads all of them in one scan and deals them by key once.
 
 Lines whose key is found in enough documents are dropped from every document, wherever they stand.
 
@@ -15,8 +15,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,27 +33,20 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, enough: int, fanout: int = 2):
         self.spark, self.enough, self.fanout = spark, enough, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option(
-            "path", scratch_path(self.spark, name)
-        ).saveAsTable(name)
-        return name
+        path = scratch_path(self.spark, "line_run")
+        rows.sortWithinPartitions(*KEY).write.parquet(path)
+        return path
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema("k1 long, k2 long, n long").parquet(*runs).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
     def counts(self) -> DataFrame | None:
         """Documents per key over all runs."""
-        runs = [self.spark.table(name) for level in self.levels for name in level]
-        if not runs:
-            return None
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.unionByName(run)
-        return merged.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        runs = [run for level in self.levels for run in level]
+        return self._merged(runs) if runs else None
 
     def add(self, batch: DataFrame) -> None:
         """Count a batch of keys, one row for each key of each document."""
@@ -69,17 +60,9 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
-            parts = [self.spark.table(name) for name in self.levels[level]]
-            merged = parts[0]
-            for part in parts[1:]:
-                merged = merged.unionByName(part)
-            run, self.levels[level] = self._write(merged.groupBy(*KEY).agg(F.sum("n").alias("n"))), []
+            run, self.levels[level] = self._write(self._merged(self.levels[level])), []
             self._push(level + 1, run)
 
-    def close(self) -> None:
-        for i in range(self.made):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
-
 
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line with a key: row identity, place, key hashes, and whether the key is new in its document."""
@@ -106,7 +89,6 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, kee
     for i in range(batches):
         runs.add(lines.where((F.col("batch") == i) & F.col("first")).select(*KEY))
     common = durable(runs.counts().where(F.col("n") >= min_docs).select(*KEY), "common_lines")
-    runs.close()
     dropped = lines.join(common, KEY, "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"), carried.alias("carried"))
     cut = dropped.select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "dropped")
