@@ -31,7 +31,6 @@ from ratesift.llm.hashing import U, Words, mix, pieces
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 19, 4
 STEPS, CLASS_RATIO = 8, 1.1
-PIECE = 1 << 18
 ITEM_BLOCK, MAX_ITEMS = 4096, 1_000_000
 OUT = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
@@ -191,7 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def compare(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             classes = size_classes(block)
             for batch in batches:
-                for row, _, data, offsets in pieces(batch["text"], PIECE):
+                for row, _, data, offsets in pieces(batch["text"]):
                     best = _hits(Words(data, offsets), classes) if classes else {}
                     if best:
                         ids = batch["doc_id"]

@@ -12,7 +12,7 @@ U = np.uint64
 #: Increment and multipliers of the splitmix64 generator.
 STEP, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
