@@ -8,7 +8,7 @@ on; whenever those of all positions in the window meet in one boundary, the ids
 
 All paths meet wherever no piece holds the two characters around a place side by side. For blanks' marks and
 punctuation after letters that is read off the vocabulary on loading; the spans between such places are looked up
-among those encoded before. The table of encoded spans is emptied when it is full, which costs time only.
+among those encoded before. Of the encoded spans, those not met again drop out in time, which costs time only.
 
 Characters outside the vocabulary become byte tokens. Decoding turns blanks' marks into blanks, joins bytes and drops
 the blank that encoding puts first; broken bytes become U+FFFD.
@@ -23,6 +23,7 @@ import hashlib
 import re
 import string
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from types import ModuleType
 
@@ -35,7 +36,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A vocabulary travels with the tasks; a larger one is refused.
 MAX_PIECES = 1_000_000
-LONGEST_KNOWN, MOST_KNOWN = 48, 1_000_000
+LONGEST_KNOWN, MOST_KNOWN, MOST_PAIRS = 48, 150_000, 300_000
 OUT = "doc_id long, n_chars long, n_ids long, ids array<int>, decoded string, round_trip boolean"
 
 
@@ -69,8 +70,13 @@ class Vocabulary:
             self.pieces.append("" if model.is_control(i) else piece)
         self.name = hashlib.sha256("\n".join(f"{p} {s}" for p, s in self.scores.items()).encode()).hexdigest()
         self.longest = max(map(len, self.ids))
-        #: Every start of a piece, and whether it is a piece.
-        self.starts = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        #: By characters: what may follow in a piece, and the piece that ends here.
+        self.tree: list = [{}, None]
+        for piece in self.ids:
+            node = self.tree
+            for c in piece:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = piece
         after_word = {y for p in self.ids for x, y in zip(p, p[1:]) if x.isalnum()}
         marks = "".join(re.escape(c) for c in string.punctuation if c not in after_word)
         ends = any(x != MARK and y == MARK for p in self.ids for x, y in zip(p, p[1:]))
@@ -106,7 +112,7 @@ class StreamingEncoder:
         self.at = 0  # the first position from which no token has been tried
 
     def _fits(self, left: str, right: str) -> bool:
-        if self.known_pairs >= MOST_KNOWN:
+        if self.known_pairs >= MOST_PAIRS:
             self.compatible.clear()
             self.known_pairs = 0
         self.known_pairs += 1
@@ -116,20 +122,26 @@ class StreamingEncoder:
 
     def _search(self, upto: int) -> None:
         """Try all tokens that start before ``upto``."""
-        text, tokens, starts, longest = self.text, self.tokens, self.v.starts, self.v.longest
+        text, tokens, tree, compatible = self.text, self.tokens, self.v.tree[0], self.compatible
+        size, longest = len(text), self.v.longest
         for start in range(self.at, upto):
             left = tokens[start - 1] if start else self.anchor
-            fits = self.compatible.get(left, {})
-            for end in range(start + 1, min(start + longest, len(text)) + 1):
-                piece = text[start:end]
-                whole = starts.get(piece)
-                if whole is None and end > start + 1:
-                    break
-                if whole or end == start + 1:
+            fits = compatible.get(left, {})
+            node = tree.get(text[start])
+            if node is None or node[1] is None:  # a character alone is a token, known or not
+                c = text[start]
+                good = fits.get(c)
+                if good or good is None and self._fits(left, c):
+                    tokens[start] = c
+                if node is None:
+                    continue
+            for end in range(start + 1, min(start + longest, size) + 1):
+                piece = node[1]
+                if piece is not None:
                     good = fits.get(piece)
                     if good or good is None and self._fits(left, piece):
                         tokens[end - 1] = piece
-                if whole is None:
+                if end == size or (node := node[0].get(text[end])) is None:
                     break
         self.at = max(self.at, upto)
 
@@ -169,29 +181,39 @@ class StreamingEncoder:
         self._restart()
         return out
 
+    def whole(self, text: str) -> list[int]:
+        """All ids of a short text."""
+        self.text, self.tokens = text, [None] * len(text)
+        return self.close()
+
 
 class Codec:
     """Whole texts to ids and back."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.encoder = vocabulary, StreamingEncoder(vocabulary)
-        self.known: dict[str, bytes] = kept_by_process(f"spans of {vocabulary.name}")
+        self.kept = kept_by_process(f"spans of {vocabulary.name}")
+        self.known: dict[str, bytes] = self.kept.setdefault("young", {})
         self.spelled = [p.replace(MARK, " ") for p in vocabulary.pieces]
 
     def _span(self, span: str) -> bytes:
-        ids = np.array(self.encoder.feed(span) + self.encoder.close(), np.int32).tobytes()
-        if len(span) <= LONGEST_KNOWN:
-            if len(self.known) >= MOST_KNOWN:
-                self.known.clear()
-            self.known[span] = ids
+        if len(span) > LONGEST_KNOWN:
+            return array("i", self.encoder.feed(span) + self.encoder.close()).tobytes()
+        ids = self.kept.get("old", {}).get(span)
+        if ids is None:
+            ids = array("i", self.encoder.whole(span)).tobytes()
+        if len(self.known) >= MOST_KNOWN:
+            self.kept["old"], self.kept["young"] = self.known, {}
+            self.known = self.kept["young"]
+        self.known[span] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         out = bytearray()
         if text:
-            marked, known = MARK + text.replace(" ", MARK), self.known
+            marked = MARK + text.replace(" ", MARK)
             for span in self.v.spans.findall(marked) if self.v.spans else [marked]:
-                out += known.get(span) or self._span(span)
+                out += self.known.get(span) or self._span(span)
         return np.frombuffer(out, np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
