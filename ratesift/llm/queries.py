@@ -12,11 +12,14 @@ from ratesift.llm.columns import table, values
 from ratesift.llm.decontamination import contaminated
 from ratesift.llm.jaccard_join import jaccard_components
 from ratesift.llm.line_dedup import drop_common_lines
+from ratesift.llm.packing import pack
 from ratesift.llm.passage_dedup import repeated_passages
+from ratesift.llm.periodic_runs import periodic_runs
 from ratesift.llm.piecewise_hash import fingerprints
 from ratesift.llm.pseudonyms import pseudonymise
 from ratesift.llm.ring_sharding import shard_rows
 from ratesift.llm.sentencepiece_codec import encode_documents
+from ratesift.llm.token_alignment import align_tokens
 from ratesift.llm.toxicity import toxicity
 from ratesift.llm.url_rules import judge_urls
 
@@ -130,6 +133,50 @@ def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), values(spark, URL_RULES, "host, path, verdict"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents with the query's repeats: where crc32(doc_id) ends in 0, the words from place a on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    n = F.size("words")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8)).cast("long")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), n - F.col("a")))
+    picked = docs.select("doc_id", "text", g.alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("picked"))
+    split = picked.withColumn("words", F.when(F.col("picked"), words))
+    placed = split.withColumn("a", F.when(n > 0, a).cast("int")).withColumn("p", F.when(n > 0, p).cast("int"))
+    return placed.select("doc_id", F.when(F.col("p") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@corpus_query("op11_periodic_runs")
+def periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, folder, "documents")), min_length=24, min_periods=3)
+    # the greatest length/period; equal ones by start, then period, which is the order of the runs
+    best = F.aggregate("runs", F.get("runs", 0), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+@corpus_query("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+@corpus_query("op13_harmonic_packing")
+def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"), capacity=2048, end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
