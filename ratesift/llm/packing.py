@@ -32,7 +32,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: A piece is cut where the bins of its class would be emptier than one part in so many.
 SLACK = 16
 #: Segments whose ids a process keeps, twice over.
-KEPT = 400_000
+KEPT = 700_000
 #: Code points worked on at once, and rows.
 BATCH_CHARS, BATCH_ROWS = 1 << 20, 256
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -75,64 +75,61 @@ class Kept:
     """Values of segments in two generations of ``limit`` entries at most, and how to find those of new ones."""
 
     def __init__(self, key: str, find: Callable[[list[str]], list], marks: str, add: Callable, whole: tuple[str, ...], limit: int):
+        """``find`` gives the values of segments, ``add`` that of a word and the line behind it; ``whole`` strings aren't cut."""
         self.store = kept_by_process(key)
-        self.find, self.marks, self.add, self.whole, self.limit = find, marks, add, whole, limit
+        self.find, self.marks, self.add, self.limit = find, marks, add, limit
+        self.whole = re.compile("|".join(map(re.escape, whole))).search if whole else None
         self.young: dict = self.store.setdefault("young", {})
 
-    def _cut(self, part: str) -> tuple[str, str] | None:
-        """A word and the punctuation that ends it, told as a line of its own."""
-        core = part.rstrip(self.marks)
-        if core == part or not core or not core[-1].isalnum() or any(w in part for w in self.whole):
-            return None
-        return core, "\n" + part[len(core):]
-
     def _learn(self, parts: Iterable[str]) -> None:
-        old, young = self.store.get("old", {}), self.young
-        cuts, new = {}, {}
-
-        def need(part: str) -> None:
-            if part not in young:
-                if (value := old.get(part)) is not None:
-                    young[part] = value
-                else:
-                    new[part] = None
-
+        """Put the values of parts that aren't young among the young; punctuation behind a word counts as a line of its own."""
+        old, young, marks, whole = self.store.get("old", {}).get, self.young, self.marks, self.whole
+        cuts, new = [], {}
         for part in parts:
-            if (value := old.get(part)) is not None:
+            if (value := old(part)) is not None:
                 young[part] = value
-            elif part[0] != " " and (pair := self._cut(part)):
-                cuts[part] = pair
-                need(pair[0])
-                need(pair[1])
-            else:
+                continue
+            core = part.rstrip(marks)
+            if core == part or not core or not core[-1].isalnum() or part[0] == " " or whole and whole(part):
                 new[part] = None
+                continue
+            tail = "\n" + part[len(core):]
+            cuts.append((part, core, tail))
+            for piece in (core, tail):
+                if piece not in young:
+                    if (value := old(piece)) is not None:
+                        young[piece] = value
+                    else:
+                        new[piece] = None
         segments = [p for p in new if not p[-1:].isspace()]
         groups = [segments[i: i + JOINED] for i in range(0, len(segments), JOINED)]
         for some in (*groups, *([p] for p in new if p[-1:].isspace())):  # a blank at the end would meet the next one's
             young.update(zip(some, self.find([text_of(p) for p in some])))
-        for part, (core, tail) in cuts.items():
-            young[part] = self.add(young[core], young[tail])
+        add = self.add
+        for part, core, tail in cuts:
+            young[part] = add(young[core], young[tail])
 
     def values(self, led: list[str]) -> list[list]:
         """For every led text the values of its segments."""
         if len(self.young) > self.limit:
             self.store["old"], self.store["young"] = self.young, {}
             self.young = self.store["young"]
-        get = self.young.get
+        young = self.young
+        get = young.get
         texts = [parts_of(t) for t in led]
         found = [list(map(get, parts)) for parts in texts]
         open_ = [i for i, values in enumerate(found) if None in values]
-        missing: dict[str, None] = {}
-        for i in open_:
-            gone = [p for p, v in zip(texts[i], found[i]) if v is None]
-            if any(map(unclean, gone)):
-                texts[i] = joined_parts(texts[i])
-                gone = [p for p in texts[i] if p not in self.young]
-            missing.update(dict.fromkeys(gone))
+        missing = {p for i in open_ for p, v in zip(texts[i], found[i]) if v is None}
+        if gone := set(filter(unclean, missing)):
+            missing -= gone
+            for i in open_:
+                if not gone.isdisjoint(texts[i]):
+                    texts[i] = joined_parts(texts[i])
+                    found[i] = list(map(get, texts[i]))
+                    missing.update(p for p, v in zip(texts[i], found[i]) if v is None)
         self._learn(missing)
-        get = self.young.__getitem__
         for i in open_:
-            found[i] = list(map(get, texts[i]))
+            found[i] = [young[p] if v is None else v for p, v in zip(texts[i], found[i])]
         return found
 
 
