@@ -1,10 +1,11 @@
 """Pair statistics between all keys that share a dimension, without emitting the pairs.
 
-Keys (users, or items) are hashed into m blocks of about ``block`` keys. Every rating is sent to the block
-pairs its key takes part in, and each block pair becomes one unit of work: its rows arrive sorted by dimension
-and are folded into a block x block matrix. Memory per task is bounded by the block size and not by how often
-one dimension or key occurs; only reduced results (top k per key or query, sums) leave the task. The shuffle
-holds m copies of the ratings, where a self join on the dimension would hold the sum of squared degrees.
+Keys (users, or items) are hashed into m blocks of about ``block`` keys, and ratings travel packed per (dimension,
+block). A directory lists the blocks that hold a dimension; a packed row is copied only to the pairs of its own block
+with a block of that list. Two blocks that share no dimension meet nowhere, and two that do meet once, for both
+directions. Each block pair is one unit of work: its rows arrive sorted by dimension, row combinations become codes of
+two places, and equal codes are sorted and summed. A task holds the codes that occur, at most one per pair of keys of
+two blocks, however often one dimension or key occurs; only reduced results (top k per key or query, sums) leave it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 OUT = "key long, dim long, other long, sim double, val double, shared long, best_shared long, neighbours long"
 OUT_NAMES = ["key", "dim", "other", "sim", "val", "shared", "best_shared", "neighbours"]
 EXPAND = 2_000_000  # row combinations held at once inside a task
+SPREAD = 3  # partitions of block pairs per shuffle partition, as pairs differ in work
+HALF = 32  # a code is the left place above so many bits of the right place; a unit's name is made alike of two blocks
+LOW = (1 << HALF) - 1
+FACTS, STRAIGHT, TURNED = 0, 1, 2  # phases of a unit: its facts, then queries of the left block, then of the right one
 
 
 @dataclass(frozen=True)
@@ -31,78 +36,113 @@ class BlockPlan:
 
 
 class _Index:
-    """Local numbers of the keys of one side of a block pair, in order of appearance."""
+    """Places of a block's keys, in order of appearance, and a weight for each."""
 
     def __init__(self):
         self.slots: dict[int, int] = {}
+        self.weights = np.ones(256)
 
-    def add(self, keys: np.ndarray) -> np.ndarray:
+    def _mapped(self, keys: np.ndarray, place) -> np.ndarray:
         unique, inverse = np.unique(keys, return_inverse=True)
-        return np.array([self.slots.setdefault(k, len(self.slots)) for k in unique.tolist()], dtype=np.int64)[inverse]
+        return np.fromiter(map(place, unique.tolist()), np.int64, len(unique))[inverse]
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        places = self._mapped(keys, lambda k: self.slots.setdefault(k, len(self.slots)))
+        if len(self.slots) > len(self.weights):
+            self.weights = np.pad(self.weights, (0, 2 * len(self.slots) - len(self.weights)), constant_values=1)
+        self.weights[places] = weights
+        return places
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return np.array([self.slots.get(k, -1) for k in unique.tolist()], dtype=np.int64)[inverse]
+        return self._mapped(keys, lambda k: self.slots.get(k, -1))
 
     def ids(self) -> np.ndarray:
         return np.fromiter(self.slots, dtype=np.int64, count=len(self.slots))
 
 
-class _PairMatrix:
-    """Sums over shared dimensions for one block pair."""
+def _summed(codes: np.ndarray, terms: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct codes in order, and the sums of each term over them."""
+    if not len(codes):
+        return codes, terms
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], [np.add.reduceat(t[order], first) for t in terms]
+
+
+class _PairSums:
+    """Sums over shared dimensions for the pairs of keys of two blocks that occur."""
 
-    FIELDS = {"msd": ("ss",), "pearson": ("x", "y", "xx", "yy", "xy"), "cosine": ()}
+    def __init__(self, plan: BlockPlan, same: bool):
+        self.plan, self.same = plan, same
+        self.left = _Index()
+        self.right = self.left if same else _Index()
+        self.parts: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.held = self.settled = 0
 
-    def __init__(self, plan: BlockPlan):
-        self.plan, self.left, self.right = plan, _Index(), _Index()
-        self.cap = 256
-        self.count = np.zeros((self.cap, self.cap), dtype=np.int32)
-        self.sums = {f: np.zeros((self.cap, self.cap)) for f in self.FIELDS[plan.similarity]}
-        self.weight_l, self.weight_r = np.ones(self.cap), np.ones(self.cap)
+    def _terms(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        count = np.ones(len(x), dtype=np.int64)
+        if self.plan.similarity == "msd":
+            return [count, (x - y) ** 2]
+        return [count] if self.plan.similarity == "cosine" else [count, x, y, x * x, y * y, x * y]
 
-    def _grow(self) -> None:
-        need = max(len(self.left.slots), len(self.right.slots))
-        if need <= self.cap:
-            return
-        grow = max(need, 2 * self.cap) - self.cap
-        self.count = np.pad(self.count, (0, grow))
-        self.sums = {f: np.pad(a, (0, grow)) for f, a in self.sums.items()}
-        self.weight_l = np.pad(self.weight_l, (0, grow), constant_values=1)
-        self.weight_r = np.pad(self.weight_r, (0, grow), constant_values=1)
-        self.cap += grow
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            codes = np.concatenate([c for c, _ in self.parts])
+            terms = [np.concatenate(t) for t in zip(*(t for _, t in self.parts))]
+            self.parts = [_summed(codes, terms)]
+        self.held = self.settled = len(self.parts[0][0]) if self.parts else 0
 
     def add(self, left, right) -> None:
-        li, ri = self.left.add(left["key"]), self.right.add(right["key"])
-        self._grow()
-        self.weight_l[li], self.weight_r[ri] = left["val"], right["val"]
-        count = self.count.reshape(-1)
+        li, ri = self.left.add(left["key"], left["val"]), self.right.add(right["key"], right["val"])
         for a, b in _combinations(left["dim"], right["dim"]):
-            flat = li[a] * self.cap + ri[b]
-            np.add.at(count, flat, 1)
-            if not self.sums:
-                continue
-            x, y = left["val"][a], right["val"][b]
-            terms = {"ss": (x - y) ** 2} if "ss" in self.sums else {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
-            for field, values in terms.items():
-                np.add.at(self.sums[field].reshape(-1), flat, values)
-
-    def finish(self) -> np.ndarray:
-        """Similarity matrix; keys are never similar to themselves."""
-        lid, rid = self.left.ids(), self.right.ids()
-        n, m = len(lid), len(rid)
-        same, at_l, at_r = np.intersect1d(lid, rid, assume_unique=True, return_indices=True)
-        self.count[at_l, at_r] = 0
-        c = self.count[:n, :m].astype(float)
+            if self.same:
+                apart = li[a] != ri[b]
+                a, b = a[apart], b[apart]
+            self.parts.append(_summed(li[a] << HALF | ri[b], self._terms(left["val"][a], right["val"][b])))
+            self.held += len(self.parts[-1][0])
+            if self.held > max(EXPAND, 2 * self.settled):
+                self._merge()
+
+    def finish(self) -> "_Similar":
+        self._merge()
+        codes, (count, *sums) = self.parts[0] if self.parts else (np.empty(0, np.int64), [np.empty(0, np.int64)] * 6)
+        c = count.astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             if self.plan.similarity == "msd":
-                sim = 1 / (self.sums["ss"][:n, :m] / c + 1)
+                sim = 1 / (sums[0] / c + 1)
             elif self.plan.similarity == "cosine":
-                sim = c / np.sqrt(self.weight_l[:n, None] * self.weight_r[None, :m])
+                sim = c / np.sqrt(self.left.weights[codes >> HALF] * self.right.weights[codes & LOW])
             else:
-                s = {f: a[:n, :m] for f, a in self.sums.items()}
-                vx, vy = c * s["xx"] - s["x"] ** 2, c * s["yy"] - s["y"] ** 2
-                sim = np.where((vx > 0) & (vy > 0), (c * s["xy"] - s["x"] * s["y"]) / np.sqrt(vx * vy), 0.0)
-        return np.where(c > 0, sim, 0.0)
+                x, y, xx, yy, xy = sums
+                vx, vy = c * xx - x * x, c * yy - y * y
+                sim = np.where((vx > 0) & (vy > 0), (c * xy - x * y) / np.sqrt(vx * vy), 0.0)
+        return _Similar(self, codes, count, sim)
+
+
+@dataclass(frozen=True)
+class _Similar:
+    """Similarities of the pairs that occur, by sorted code; keys are never similar to themselves."""
+
+    sums: _PairSums
+    codes: np.ndarray
+    count: np.ndarray
+    sim: np.ndarray
+
+    def directions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own key, other key) of each pair, from both sides; a block with itself holds both already."""
+        left, right = self.sums.left.ids()[self.codes >> HALF], self.sums.right.ids()[self.codes & LOW]
+        yield left, right
+        if not self.sums.same:
+            yield right, left
+
+    def of(self, own: np.ndarray, other: np.ndarray, turned: bool) -> np.ndarray:
+        """Similarities by places; 0 for pairs that don't occur."""
+        if not len(self.codes):
+            return np.zeros(len(own))
+        wanted = (other << HALF | own) if turned else (own << HALF | other)
+        at = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+        return np.where((self.codes[at] == wanted) & (own >= 0) & (other >= 0), self.sim[at], 0.0)
 
 
 def _combinations(dim_l: np.ndarray, dim_r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +161,7 @@ def _combinations(dim_l: np.ndarray, dim_r: np.ndarray) -> Iterator[tuple[np.nda
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """Cut the sorted stream into (pair, phase, rows) such that no dimension is cut."""
+    """Cut the sorted stream into (unit, phase, rows) such that no dimension is cut."""
     names = ("pair", "phase", "dim", "side", "key", "val")
     carry = None
     for batch in batches:
@@ -166,61 +206,60 @@ def _first_k(group: np.ndarray, sim: np.ndarray, other: np.ndarray, k: int) -> n
     return order[np.arange(len(order)) - starts < k]
 
 
-def _reduce_keys(matrix: _PairMatrix, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
-    lid, rid = matrix.left.ids(), matrix.right.ids()
-    count = matrix.count[: len(lid), : len(rid)]
-    if matrix.plan.reduce == "summary":
-        yield _table(
-            key=lid,
-            neighbours=(count > 0).sum(axis=1),
-            shared=count.sum(axis=1),
-            best_shared=count.max(axis=1, initial=0),
-        )
-    else:
-        for row in range(0, len(lid), 256):
-            a, b = np.nonzero(sim[row : row + 256] > 0)
-            values = sim[row : row + 256][a, b]
-            keep = _first_k(a, values, rid[b], matrix.plan.k)
-            a, b = a[keep], b[keep]
-            yield _table(key=lid[row + a], other=rid[b], sim=values[keep], shared=count[row + a, b])
-
-
-def _reduce_queries(matrix: _PairMatrix, sim: np.ndarray, left, right) -> Iterator[pa.RecordBatch]:
-    li, ri = matrix.left.find(left["key"]), matrix.right.find(right["key"])
-    for a, b in _combinations(left["dim"], right["dim"]):
-        known = (li[a] >= 0) & (ri[b] >= 0)
-        a, b = a[known], b[known]
-        values = sim[li[a], ri[b]]
-        if matrix.plan.reduce == "sum":
-            total = np.bincount(a, weights=values, minlength=len(li))
+def _reduce_keys(plan: BlockPlan, similar: _Similar) -> Iterator[pa.RecordBatch]:
+    for own, other in similar.directions():
+        if plan.reduce == "summary":
+            order = np.argsort(own, kind="stable")
+            keys, first = np.unique(own[order], return_index=True)
+            if len(keys):
+                count = similar.count[order]
+                yield _table(
+                    key=keys, neighbours=np.diff(np.append(first, len(own))), shared=np.add.reduceat(count, first),
+                    best_shared=np.maximum.reduceat(count, first),
+                )
+        else:
+            alike = np.flatnonzero(similar.sim > 0)
+            keep = alike[_first_k(own[alike], similar.sim[alike], other[alike], plan.k)]
+            yield _table(key=own[keep], other=other[keep], sim=similar.sim[keep], shared=similar.count[keep])
+
+
+def _reduce_queries(plan: BlockPlan, similar: _Similar, asked, found, turned: bool) -> Iterator[pa.RecordBatch]:
+    ends = (similar.sums.left, similar.sums.right)
+    own, other = ends[turned].find(asked["key"]), ends[not turned].find(found["key"])
+    for a, b in _combinations(asked["dim"], found["dim"]):
+        values = similar.of(own[a], other[b], turned)
+        if plan.reduce == "sum":
+            total = np.bincount(a, weights=values, minlength=len(own))
             hit = np.flatnonzero(total != 0)
-            yield _table(key=left["key"][hit], dim=left["dim"][hit], sim=total[hit])
+            yield _table(key=asked["key"][hit], dim=asked["dim"][hit], sim=total[hit])
             continue
         a, b, values = a[values > 0], b[values > 0], values[values > 0]
-        keep = _first_k(a, values, right["key"][b], matrix.plan.k)
+        keep = _first_k(a, values, found["key"][b], plan.k)
         a, b = a[keep], b[keep]
         yield _table(
-            key=left["key"][a], dim=left["dim"][a], other=right["key"][b], sim=values[keep], val=right["val"][b]
+            key=asked["key"][a], dim=asked["dim"][a], other=found["key"][b], sim=values[keep], val=found["val"][b]
         )
 
 
 def _work(plan: BlockPlan):
+    by_key = plan.reduce in ("summary", "neighbours")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, matrix, sim = None, None, None
+        pair, sums, similar = None, None, None
         for unit, phase, rows in _chunks(batches):
             if unit != pair:
-                if matrix is not None and plan.reduce in ("summary", "neighbours"):
-                    yield from _reduce_keys(matrix, matrix.finish())
-                pair, matrix, sim = unit, _PairMatrix(plan), None
+                if sums is not None and by_key:
+                    yield from _reduce_keys(plan, sums.finish())
+                pair, sums, similar = unit, _PairSums(plan, unit >> HALF == unit & LOW), None
             left, right = _sides(rows)
-            if phase == 0:
-                matrix.add(left, right)
+            if phase == FACTS:
+                sums.add(left, left if sums.same else right)
                 continue
-            if sim is None:
-                sim = matrix.finish()
-            yield from _reduce_queries(matrix, sim, left, right)
-        if matrix is not None and plan.reduce in ("summary", "neighbours"):
-            yield from _reduce_keys(matrix, matrix.finish())
+            if similar is None:
+                similar = sums.finish()
+            yield from _reduce_queries(plan, similar, left, right, phase == TURNED)
+        if sums is not None and by_key:
+            yield from _reduce_keys(plan, sums.finish())
 
     return run
 
@@ -229,25 +268,35 @@ def _packed(df: DataFrame, blocks: Column) -> DataFrame:
     """Ratings gathered per (dimension, key block): at most one block of keys per row."""
     own = F.pmod(F.xxhash64("key"), F.col("_m"))
     rows = df.select("key", "dim", F.col("val").cast("double").alias("val"), blocks.alias("_m")).withColumn("_own", own)
-    gathered = rows.groupBy("dim", "_own", "_m").agg(F.collect_list(F.struct("key", "val")).alias("kv"))
-    return gathered.select("dim", "_own", "_m", F.col("kv.key").alias("keys"), F.col("kv.val").alias("vals"))
+    gathered = rows.groupBy("dim", "_own").agg(F.collect_list(F.struct("key", "val")).alias("kv"))
+    return gathered.select("dim", "_own", F.col("kv.key").alias("keys"), F.col("kv.val").alias("vals"))
 
 
-def _copies(packed: DataFrame, phase: int, sides: tuple[int, ...]) -> DataFrame:
-    """The rows of one or both sides, once per block of the other side."""
-    others = F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)
-    own, m = F.col("_own"), F.col("_m")
+def _directory(packed: DataFrame) -> DataFrame:
+    """The blocks that hold a dimension: at most as many as there are."""
+    return packed.groupBy("dim").agg(F.collect_set("_own").alias("_blocks"))
 
-    def target(side: int) -> Column:
-        def place(x: Column) -> Column:
-            pair = own * m + x if side == 0 else x * m + own
-            return F.struct(pair.alias("pair"), F.lit(side).alias("side"))
 
-        return F.transform(others, place)
+def _routed(packed: DataFrame, directory: DataFrame, phase: Column, side: Column) -> DataFrame:
+    """Packed rows, once for each block of the directory that their dimension is also in."""
+    own, other = F.col("_own"), F.col("_other")
+    copies = packed.join(directory, "dim").select("dim", "_own", "keys", "vals", F.explode("_blocks").alias("_other"))
+    unit = F.shiftleft(F.least(own, other), HALF).bitwiseOR(F.greatest(own, other))
+    return copies.select(unit.alias("pair"), phase.alias("phase"), "dim", side.alias("side"), "keys", "vals")
 
-    targets = F.concat(*[target(s) for s in sides])
-    exploded = packed.select("dim", "keys", "vals", F.explode(targets).alias("_t"))
-    return exploded.select("_t.pair", F.lit(phase).alias("phase"), "dim", "_t.side", "keys", "vals")
+
+def routed_rows(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """(pair, phase, dim, side, keys, vals): every packed row at the block pairs that share its dimension."""
+    blocks = facts.agg(F.greatest(F.ceil(F.count_distinct("key") / plan.block), F.lit(1)).cast("long")).scalar()
+    own, other = F.col("_own"), F.col("_other")
+    packed = _packed(facts, blocks)
+    rows = _routed(packed, _directory(packed), F.lit(FACTS), (own > other).cast("int"))
+    if queries is not None:
+        asked, found = _packed(queries, blocks), _packed(candidates, blocks)
+        # A query's block is the unit's left one unless its number is the greater.
+        rows = rows.unionByName(_routed(asked, _directory(found), F.when(own > other, TURNED).otherwise(STRAIGHT), F.lit(0)))
+        rows = rows.unionByName(_routed(found, _directory(asked), F.when(other > own, TURNED).otherwise(STRAIGHT), F.lit(1)))
+    return rows
 
 
 def pair_statistics(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None = None,
@@ -257,14 +306,7 @@ def pair_statistics(facts: DataFrame, plan: BlockPlan, queries: DataFrame | None
     ``queries`` and ``candidates`` (same columns) ask, per query row, for the candidate keys of its dimension.
     Results of different block pairs still have to be merged by the caller.
     """
-    n_keys = facts.agg(F.ceil(F.count_distinct("key") / plan.block).alias("m")).select(
-        F.greatest(F.col("m"), F.lit(1)).cast("long").alias("m")
-    )
-    blocks = n_keys.scalar()
-    rows = _copies(_packed(facts, blocks), 0, (0, 1))
-    if queries is not None:
-        rows = rows.unionByName(_copies(_packed(queries, blocks), 1, (0,)))
-        rows = rows.unionByName(_copies(_packed(candidates, blocks), 1, (1,)))
-    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = routed_rows(facts, plan, queries, candidates)
+    parts = SPREAD * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition(parts, "pair").sortWithinPartitions("pair", "phase", "dim")
     return placed.mapInArrow(_work(plan), OUT)
