@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +14,7 @@ LABELS = ("low", "medium", "high")
 LOW_FULL_TO, LOW_ZERO_FROM = 1.5, 2.0
 MEDIUM_CORNERS = (1.5, 2.0, 3.0, 4.0)
 HIGH_ZERO_TO, HIGH_FULL_FROM = 3.0, 4.0
+KNOWN_SCALE = (0.5, 5.0)
 ELIGIBLE_DISTANCE = 1.0
 NOISE_DISTANCE = 1.0
 VARIABLE_BELOW = 0.01
@@ -21,10 +22,13 @@ VARIABLE_BELOW = 0.01
 
 @dataclass(frozen=True)
 class FuzzyNoise:
-    """``full=True`` measures eligibility on all three labels instead of the low one."""
+    """``full=True`` measures eligibility on all three labels instead of the low one.
 
-    r_min: float = 0.5
-    r_max: float = 5.0
+    Without ``r_min`` and ``r_max`` the scale is that of the ratings (``fitted``).
+    """
+
+    r_min: float | None = None
+    r_max: float | None = None
     full: bool = False
     corners: tuple[tuple[float, float, float, float], ...] | None = None
 
@@ -46,12 +50,23 @@ def boundaries(r_min: float, r_max: float, rating_scale: bool = True) -> tuple[t
     return ((r_min, r_min, low, left), (low, left, right, high), (right, high, r_max, r_max))
 
 
+def fitted(ratings: DataFrame, params: FuzzyNoise = FuzzyNoise()) -> FuzzyNoise:
+    """Parameters with the scale's ends, from the ratings where they are not given: one row of two numbers."""
+    if params.corners or None not in (params.r_min, params.r_max):
+        return params
+    low, high = ratings.agg(F.min("rating"), F.max("rating")).first()
+    ends = [float(given if given is not None else found if found is not None else known)
+            for given, found, known in ((params.r_min, low, KNOWN_SCALE[0]), (params.r_max, high, KNOWN_SCALE[1]))]
+    return replace(params, r_min=ends[0], r_max=ends[1])
+
+
 def _corners(params: FuzzyNoise):
-    return params.corners or boundaries(params.r_min, params.r_max)
+    """The fixed corners for scales that end at the known one's top, the relative ones for all others."""
+    return params.corners or boundaries(params.r_min, params.r_max, params.r_max == KNOWN_SCALE[1])
 
 
-def rating_profile(params: FuzzyNoise = FuzzyNoise()) -> list[Column]:
-    """Sharpened memberships of ``rating`` as columns r_low, r_medium, r_high."""
+def rating_profile(params: FuzzyNoise) -> list[Column]:
+    """Sharpened memberships of ``rating`` as columns r_low, r_medium, r_high; ``params`` are fitted."""
     return [
         sharpen(trapezoid(F.col("rating"), *c)).alias(f"r_{label}")
         for label, c in zip(LABELS, _corners(params), strict=True)
@@ -60,12 +75,14 @@ def rating_profile(params: FuzzyNoise = FuzzyNoise()) -> list[Column]:
 
 def profile_by(ratings: DataFrame, key: str, prefix: str, params: FuzzyNoise = FuzzyNoise()) -> DataFrame:
     """Mean memberships per key, sharpened again."""
+    params = fitted(ratings, params)
     profiled = ratings.select(key, *rating_profile(params))
     means = profiled.groupBy(key).agg(*[F.avg(f"r_{x}").alias(x) for x in LABELS])
     return means.select(key, *[F.round(sharpen(F.round(x, 9)), 9).alias(f"{prefix}_{x}") for x in LABELS])
 
 
 def with_profiles(ratings: DataFrame, params: FuzzyNoise = FuzzyNoise()) -> DataFrame:
+    params = fitted(ratings, params)
     return (
         ratings.select("*", *rating_profile(params))
         .join(profile_by(ratings, "userId", "u", params), "userId")

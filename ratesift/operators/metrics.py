@@ -81,8 +81,16 @@ def rating_errors(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
+def rating_levels(ratings: DataFrame, most: int = 1000) -> list[float]:
+    """The distinct ratings in order; a scale of more than ``most`` levels is refused."""
+    found = ratings.where("rating IS NOT NULL").select("rating").distinct().orderBy("rating").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct ratings")
+    return [r.rating for r in found]
+
+
 def concordance(predictions: DataFrame, levels: list[float], digits: int = 6) -> DataFrame:
-    """Fraction of concordant pairs, without forming pairs.
+    """Fraction of concordant pairs, without forming pairs; ``levels`` are all ratings that occur (``rating_levels``).
 
     Rows are counted per (user, estimate, rating level) first. A running count per level, in order of the
     estimate, then tells how many lower-rated rows also have a lower estimate. A user contributes at most as

@@ -13,11 +13,13 @@ from ratesift.operators.ordering import hashed_rank, top_per_group
 
 @dataclass(frozen=True)
 class NeighbourNoise:
+    """Estimates stay within ``r_min`` and ``r_max``, or else within the training ratings."""
+
     k: int = 40
     similarity: str = "msd"
     threshold: float = 0.05
-    r_min: float = 0.5
-    r_max: float = 5.0
+    r_min: float | None = None
+    r_max: float | None = None
     block: int = 2048
 
 
@@ -66,7 +68,10 @@ def knn_with_means(train: DataFrame, test: DataFrame, params: NeighbourNoise = N
     raw = F.when(F.col("mean").isNull() | F.col("known").isNull(), overall).otherwise(
         F.col("mean") + F.coalesce("shift", F.lit(0.0))
     )
-    clipped = F.least(F.greatest(raw, F.lit(params.r_min)), F.lit(params.r_max))
+    scale = train.agg(F.struct(F.min("rating").alias("low"), F.max("rating").alias("high"))).scalar()
+    low = scale["low"] if params.r_min is None else F.lit(params.r_min)
+    high = scale["high"] if params.r_max is None else F.lit(params.r_max)
+    clipped = F.least(F.greatest(raw, low), high)
     return (
         test.join(means, "userId", "left")
         .join(known_items, "itemId", "left")

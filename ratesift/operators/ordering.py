@@ -8,6 +8,8 @@ from ratesift.session import durable
 
 KEY_SPACE = 1000003  # range of the portable split key
 KEY_BUCKETS = 1000
+SAMPLE_RANGE = 16  # keys of a range that is counted as one when a sample's last row is sought
+MEDIAN_ROWS, MEDIAN_PARTS = 100_000, 256  # rows of a range that may be sorted, parts of a wider one
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -64,11 +66,19 @@ def hashed_rank(df: DataFrame, keys: list[str], key: Column, tie: list[str], nam
 
 
 def smallest_n(df: DataFrame, key: Column, tie: list[str], n: Column | int) -> DataFrame:
-    """The n rows with the smallest uniform key in [0, KEY_SPACE); n may be a scalar subquery."""
-    one = df.withColumn("_all", F.lit(0))
-    ranked = hashed_rank(one, ["_all"], key, tie, "_rank", "_size", buckets=KEY_SPACE)
+    """The n rows with the smallest uniform key in [0, KEY_SPACE); n may be a scalar subquery.
+
+    Rows are counted per range of SAMPLE_RANGE keys, combined before the shuffle. Rows of the ranges ahead of the one
+    that holds the n-th row are taken as they are; only rows of that one range are ranked. No other row is moved.
+    """
+    ranged = df.withColumn("_key", key).withColumn("_b", F.floor(F.col("_key") / SAMPLE_RANGE))
     limit = F.lit(n) if isinstance(n, int) else n
-    return ranked.where(F.col("_rank") <= limit).drop("_all", "_rank", "_size")
+    counts = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")  # a row per range at most
+    cut = counts.withColumn("_before", before).where(F.col("_before") < limit).agg(F.max(F.struct("_b", "_before"))).scalar()
+    whole = ranged.where(F.col("_b") < cut["_b"])
+    part = top_per_group(ranged.where(F.col("_b") == cut["_b"]), ["_b"], [F.asc("_key"), *map(F.asc, tie)], limit - cut["_before"], "_rank")
+    return whole.unionByName(part.drop("_rank")).drop("_key", "_b")
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
@@ -81,13 +91,36 @@ def quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
 
 
 def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Exact median per group of a column with any number of distinct values."""
-    ranked = group_rank(df.select(*keys, value), keys, [F.col(value)], "_r", "_n")
-    middle = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor((F.col("_n") + 2) / 2))
-    return ranked.where(middle).groupBy(*keys).agg(F.avg(value).alias(name))
+    """Exact median per group of a column of finite numbers, by selection; missing values don't count.
 
-
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    Each group's middle places start with the range of all its values. A range of many rows is cut into equal parts,
+    rows are counted per part before the shuffle, and the part that holds the place is the next range, told by the
+    values in it. A range of one value is done; one of few rows is sorted. So no group is ever sorted whole, and rounds
+    grow with the logarithm of its size.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    n, place, low, high = (F.col(c) for c in ("_in", "_place", "_lo", "_hi"))
+    middles = F.array_distinct(F.array(F.floor((n + 1) / 2), F.floor((n + 2) / 2)))
+    spans = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_in"))
+    state = durable(spans.withColumn("_place", F.explode(middles)).withColumn("_before", F.lit(0).cast("long")), "middles")
+    wide = (n > MEDIAN_ROWS) & (low < high)
+    while not state.where(wide).isEmpty():
+        inside = rows.join(state.where(wide), keys).where(F.col("_v").between(low, high))
+        part = F.least(F.floor((F.col("_v") - low) / (high - low) * MEDIAN_PARTS), F.lit(MEDIAN_PARTS - 1))
+        counted = inside.groupBy(*keys, "_place", "_before", part.alias("_part")).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_in")
+        )
+        ahead = F.sum("_in").over(Window.partitionBy(*keys, "_place").orderBy("_part")) - n
+        next_ = counted.withColumn("_before", F.col("_before") + ahead).where((place > F.col("_before")) & (place <= F.col("_before") + n))
+        state = durable(state.where(~wide).unionByName(next_.drop("_part")), "middles")
+    narrow = rows.join(state.where(low < high), keys).where(F.col("_v").between(low, high))
+    order = F.row_number().over(Window.partitionBy(*keys, "_place").orderBy("_v"))
+    found = narrow.withColumn("_rank", order + F.col("_before")).where(F.col("_rank") == place).select(*keys, "_v")
+    single = state.where(low == high).select(*keys, low.alias("_v"))
+    return found.unionByName(single).groupBy(*keys).agg(F.avg("_v").alias(name))
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: Column | int, name: str = "rank") -> DataFrame:
     """First k rows per group. Spark limits each group inside the map tasks before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)

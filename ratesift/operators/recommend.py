@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratesift.operators.metrics import improved_share, improvement, ranking_metrics, user_hits
 from ratesift.operators.ordering import dense_index, global_rank, group_rank, top_per_group
-from ratesift.operators.vectors import VectorPlan, block_top_k
+from ratesift.operators.vectors import VectorPlan, bounded_top_k
 from ratesift.session import durable
 
 MAX_GROUPS = 1000
@@ -70,20 +71,37 @@ def propagate(weighted: DataFrame, vectors: DataFrame, dims: int, layers: int =
     return all_layers.groupBy("kind", "id").agg(*means)
 
 
-def fit_factors(train: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 42) -> ALSModel:
+@dataclass(frozen=True)
+class Factors:
+    """A factor model over dense numbers, and the ids that they stand for."""
+
+    model: ALSModel
+    users: DataFrame  # userId, u
+    items: DataFrame  # itemId, i
+
+
+def fit_factors(train: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 42) -> Factors:
+    """Implicit factors. The model takes 32-bit numbers only, so ids of any size are numbered densely first."""
+    users = durable(dense_index(train, "userId", "u"), "users")
+    items = durable(dense_index(train, "itemId", "i"), "items")
     als = ALS(
-        userCol="userId", itemCol="itemId", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed,
+        userCol="u", itemCol="i", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed,
         implicitPrefs=True, coldStartStrategy="drop",
     )
-    return als.fit(train.select(F.col("userId").cast("int"), F.col("itemId").cast("int"), "rating"))
+    numbered = train.join(users, "userId").join(items, "itemId")
+    return Factors(als.fit(numbered.select(F.col("u").cast("int"), F.col("i").cast("int"), "rating")), users, items)
 
 
-def factor_vectors(model: ALSModel) -> DataFrame:
-    def side(kind: str, factors: DataFrame) -> DataFrame:
+def factor_vectors(fitted: Factors) -> DataFrame:
+    """(kind 'u' or 'i', id, vec)"""
+    def side(kind: str, factors: DataFrame, ids: DataFrame, key: str, number: str) -> DataFrame:
         vec = F.col("features").cast("array<double>").alias("vec")
-        return factors.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), vec)
+        named = factors.join(ids, factors["id"] == ids[number])
+        return named.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), vec)
 
-    return side("u", model.userFactors).unionByName(side("i", model.itemFactors))
+    return side("u", fitted.model.userFactors, fitted.users, "userId", "u").unionByName(
+        side("i", fitted.model.itemFactors, fitted.items, "itemId", "i")
+    )
 
 
 def negative_draws(positives: DataFrame, catalogue: DataFrame, seen: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -172,8 +190,7 @@ def encode(df: DataFrame, vocab: DataFrame, column: str) -> DataFrame:
 
 def top_k_products(left: DataFrame, right: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
     """The k right vectors with the largest inner product per left vector; ``seen`` (id, other) pairs are left out."""
-    best = block_top_k(left, right, VectorPlan(k=k, metric="dot"), seen)
-    return top_per_group(best, ["id"], [F.desc("score"), F.asc("other")], k)
+    return bounded_top_k(left, right, VectorPlan(k=k, metric="dot"), seen)
 
 
 def recommend_by_group(train: DataFrame, test: DataFrame, clusters: DataFrame, k: int = 10) -> DataFrame:

@@ -189,8 +189,8 @@ def mae_rmse(t):
 @query("p6_fcp", "knn", """SELECT round(sum(CASE WHEN round(a.est, 6) < round(b.est, 6) THEN 1 ELSE 0 END) / count(*), 6) AS fcp
     FROM knn a JOIN knn b ON a.userId = b.userId AND a.rating < b.rating""")
 def fcp(t):
-    levels = [i / 2 for i in range(1, 11)]  # the half-step scale
-    return rounded(met.concordance(nei.knn_with_means(*split70(t)), levels), "fcp")
+    train, test = split70(t)
+    return rounded(met.concordance(nei.knn_with_means(train, test), met.rating_levels(test)), "fcp")
 
 
 @query("p7_neighbourhood", "knn pair_msd hits", """SELECT u AS userId, round(avg(mae), 6) AS neighbour_mae, any_value(round(ndcg, 6)) AS ndcg

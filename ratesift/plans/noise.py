@@ -178,7 +178,7 @@ cte("um", "SELECT userId, avg(rating) AS mean FROM train GROUP BY userId", ("tra
 
 def _knn(pairs: str, k: int) -> str:
     return f"""SELECT t.userId, t.itemId, t.rating, t.ts, round(least(greatest(CASE WHEN um.mean IS NULL OR known.itemId IS NULL
-    THEN (SELECT avg(rating) FROM train) ELSE um.mean + coalesce(shift, 0) END, 0.5), 5), 9) AS est
+    THEN (SELECT avg(rating) FROM train) ELSE um.mean + coalesce(shift, 0) END, (SELECT min(rating) FROM train)), (SELECT max(rating) FROM train)), 9) AS est
     FROM test t LEFT JOIN um USING (userId) LEFT JOIN (SELECT DISTINCT itemId FROM train) known USING (itemId)
     LEFT JOIN (SELECT userId, itemId, sum(sim * dev) / sum(sim) AS shift FROM (
         SELECT t.userId, t.itemId, sim, n.rating - m.mean AS dev,
@@ -298,7 +298,8 @@ def nf3(t):
     ('high', 3.0, 4.0, 5.0, 5.0)) x(label, a, b, c, d)) JOIN ratings ON rating BETWEEN b AND c GROUP BY ALL""")
 def fuzzy_boundaries(t):
     """Corners of the three memberships and the ratings lying on each plateau."""
-    corners = list(zip(fuz.LABELS, fuz.boundaries(0.5, 5.0), strict=True))
+    scale = fuz.fitted(t.stored)
+    corners = list(zip(fuz.LABELS, fuz.boundaries(scale.r_min, scale.r_max), strict=True))
     rows = [F.struct(F.lit(n).alias("label"), *[F.lit(float(x)).alias(c) for c, x in zip("abcd", v)]) for n, v in corners]
     on_plateau = t.stored.select("rating", F.explode(F.array(*rows)).alias("f")).select("rating", "f.*")
     return on_plateau.where("rating BETWEEN b AND c").groupBy("label", *"abcd").agg(F.count(F.lit(1)).alias("n_full"))
@@ -307,7 +308,7 @@ def fuzzy_boundaries(t):
 @query("i4b_fuzzy_rating_profile", "fr", """SELECT userId, itemId, rating, round(r_low, 6) AS r_low,
     round(r_medium, 6) AS r_medium, round(r_high, 6) AS r_high FROM fr""")
 def fuzzy_rating_profile(t):
-    return t.stored.select("userId", "itemId", "rating", *fuz.rating_profile()).select(
+    return t.stored.select("userId", "itemId", "rating", *fuz.rating_profile(fuz.fitted(t.stored))).select(
         "userId", "itemId", "rating", *[r6(F.col(f"r_{x}")).alias(f"r_{x}") for x in fuz.LABELS]
     )
 
