@@ -36,7 +36,9 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A vocabulary travels with the tasks; a larger one is refused.
 MAX_PIECES = 1_000_000
-LONGEST_KNOWN, MOST_KNOWN, MOST_PAIRS = 48, 150_000, 300_000
+LONGEST_KNOWN, MOST_KNOWN, MOST_PAIRS = 48, 120_000, 400_000
+#: Words between blanks that a process keeps, twice over.
+MOST_PARTS = 100_000
 OUT = "doc_id long, n_chars long, n_ids long, ids array<int>, decoded string, round_trip boolean"
 
 
@@ -101,8 +103,10 @@ class StreamingEncoder:
     """Feed marked text in pieces of any size; ids come out as they become final."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known_pairs = vocabulary, 0
-        self.compatible: dict[str, dict[str, bool]] = {}
+        self.v = vocabulary
+        #: Whether two tokens may be neighbours, by process.
+        self.compatible: dict[str, dict[str, bool]] = kept_by_process(f"pairs of {vocabulary.name}")
+        self.known_pairs = sum(map(len, self.compatible.values()))
         self._restart()
 
     def _restart(self) -> None:
@@ -193,30 +197,64 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.encoder = vocabulary, StreamingEncoder(vocabulary)
         self.kept = kept_by_process(f"spans of {vocabulary.name}")
-        self.known: dict[str, bytes] = self.kept.setdefault("young", {})
+        self.known: dict[str, tuple[bytes, str]] = self.kept.setdefault("young", {})
+        self.parts: dict[str, tuple[bytes, str]] = self.kept.setdefault("parts", {})
         self.spelled = [p.replace(MARK, " ") for p in vocabulary.pieces]
 
-    def _span(self, span: str) -> bytes:
+    def _long(self, span: str) -> bytes:
+        """Ids of a span of any length, fed in slices: only the last ones and the ids already final are held."""
+        ids, size = array("i"), 4 * self.v.longest
+        for at in range(0, len(span), size):
+            ids.extend(self.encoder.feed(span[at: at + size]))
+        ids.extend(self.encoder.close())
+        return ids.tobytes()
+
+    def _span(self, span: str) -> tuple[bytes, str]:
+        """(ids, the text that they decode to) of a span; a character's bytes are never in two spans."""
         if len(span) > LONGEST_KNOWN:
-            return array("i", self.encoder.feed(span) + self.encoder.close()).tobytes()
-        ids = self.kept.get("old", {}).get(span)
-        if ids is None:
-            ids = array("i", self.encoder.whole(span)).tobytes()
+            ids = self._long(span)
+            return ids, self._spell(np.frombuffer(ids, np.int32).tolist())
+        both = self.kept.get("old", {}).get(span)
+        if both is None:
+            ids = array("i", self.encoder.whole(span))
+            both = ids.tobytes(), self._spell(ids)
         if len(self.known) >= MOST_KNOWN:
             self.kept["old"], self.kept["young"] = self.known, {}
             self.known = self.kept["young"]
-        self.known[span] = ids
-        return ids
+        self.known[span] = both
+        return both
+
+    def _part(self, part: str) -> tuple[bytes, str]:
+        """(ids, what they decode to) of the blank's mark and a word."""
+        both = self.kept.get("old parts", {}).get(part)
+        if both is None:
+            found = self._spans(MARK + part)
+            both = found[0] if len(found) == 1 else (b"".join([i for i, _ in found]), "".join([t for _, t in found]))
+        if len(part) <= LONGEST_KNOWN:
+            self.parts[part] = both
+        return both
+
+    def _spans(self, marked: str) -> list[tuple[bytes, str]]:
+        return [self.known.get(span) or self._span(span) for span in (self.v.spans.findall(marked) if self.v.spans else [marked])]
+
+    def both(self, text: str) -> tuple[np.ndarray, str]:
+        """(ids, what they decode to): known words bring both with them."""
+        if len(self.parts) > MOST_PARTS:
+            self.kept["old parts"], self.kept["parts"] = self.parts, {}
+            self.parts = self.kept["parts"]
+        parts = text.split(" ") if text else []
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            if not self.v.spans or "" in parts or MARK in text:  # marks side by side may be one piece
+                found = self._spans(MARK + text.replace(" ", MARK))
+            else:
+                found = [self._part(p) if f is None else f for p, f in zip(parts, found)]
+        return np.frombuffer(b"".join([ids for ids, _ in found]), np.int32), "".join([spelled for _, spelled in found])[1:]
 
     def encode(self, text: str) -> np.ndarray:
-        out = bytearray()
-        if text:
-            marked = MARK + text.replace(" ", MARK)
-            for span in self.v.spans.findall(marked) if self.v.spans else [marked]:
-                out += self.known.get(span) or self._span(span)
-        return np.frombuffer(out, np.int32)
+        return self.both(text)[0]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def _spell(self, ids: Iterable[int]) -> str:
         byte_of, parts, held = self.v.byte_of, [], bytearray()
         for i in ids:
             if i in byte_of:
@@ -228,7 +266,10 @@ class Codec:
             parts.append(self.spelled[i])
         if held:
             parts.append(held.decode(errors="replace"))
-        text = "".join(parts)
+        return "".join(parts)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = self._spell(ids)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -242,8 +283,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                encoded = [codec.encode(t) for t in texts]
-                decoded = [codec.decode(e.tolist()) for e in encoded]
+                encoded, decoded = zip(*[codec.both(t) for t in texts])
                 offsets = np.zeros(len(texts) + 1, np.int32)
                 np.cumsum([len(e) for e in encoded], out=offsets[1:])
                 flat = np.concatenate(encoded)
