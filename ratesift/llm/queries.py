@@ -1,4 +1,4 @@
-"""One query per corpus operator over its whole table, and the pipeline; SQL where it can say the same."""
+"""One query per corpus operator over its whole table; SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ratesift.llm.columns import table, values
 from ratesift.llm.decontamination import contaminated
 from ratesift.llm.jaccard_join import jaccard_components
@@ -175,8 +174,3 @@ def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
-
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
