@@ -10,8 +10,10 @@ windows, moved by up to a step, are then compared with the item exactly: weighte
 Items are the stated query set: they travel with the tasks in blocks of ITEM_BLOCK, one pass over the documents each.
 
 Defined cases: items and documents of fewer than SHINGLE words match nothing; null is an empty text; a document a
-little shorter than an item is one window; repeated documents are each compared; a null item_id or doc_id is carried;
-empty tables give no rows; other columns are not read.
+little shorter than an item is one window; of windows equally like an item the first compared counts; a very long text
+is a piece of its own; repeated documents are each compared; a null item_id or doc_id is carried; empty tables give no
+rows; other columns are not read. A table of more than MAX_ITEMS items is refused: give it in several parts and unite
+the results.
 """
 
 from __future__ import annotations
@@ -75,6 +77,7 @@ class SizeClass:
     def __init__(self, items: list[tuple]):
         self.items = items
         self.words = int(np.median([i[1] for i in items]))
+        self.smallest = min(i[1] for i in items)
         self.step = max(1, self.words // STEPS)
         self.slack = self.step + max(abs(i[1] - self.words) for i in items)
         self.prints = np.array([i[3] for i in items], U)
@@ -135,15 +138,18 @@ def size_classes(items: list[tuple]) -> list[SizeClass]:
     return [SizeClass(g) for _, g in sorted(groups.items())]
 
 
-def windows(words: Words, size: int, step: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(starts, shingles) of windows of ``size`` words: a grid and every text's first and last; then of short texts."""
+def windows(words: Words, size: int, step: int, smallest: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(starts, shingles) of windows of ``size`` words: a grid and every text's first and last; then of short texts.
+
+    A text may be shorter than a window as far as it can still be like an item of ``smallest`` words.
+    """
     first, last = words.bounds[:-1], words.bounds[1:]
     length = last - first
     grid = np.arange(0, len(words.hashes), step)
     grid = grid[np.repeat(last, length)[grid] - grid >= size]
     long = length >= size
     yield np.concatenate((grid, first[long], last[long] - size)), size - SHINGLE + 1
-    for n in np.unique(length[(length < size) & (length >= max(SHINGLE, THRESHOLD * size))]):
+    for n in np.unique(length[(length < size) & (length >= max(SHINGLE, THRESHOLD * smallest))]):
         yield first[length == n], int(n) - SHINGLE + 1
 
 
@@ -162,7 +168,7 @@ def _hits(words: Words, classes: list[SizeClass]) -> dict[tuple[int, object], tu
         lane = lane_for(c.words)
         if lane not in sums:
             sums[lane] = BitSums(bits, lane)
-        for starts, count in windows(words, c.words, c.step):
+        for starts, count in windows(words, c.words, c.step, c.smallest):
             for close, k in c.near(sums[lane].simhash(starts, count)):
                 item, size, wanted, _ = c.items[k]
                 near = starts[close]

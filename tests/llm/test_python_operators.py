@@ -79,6 +79,17 @@ def test_leaks_against_all_windows(spark):
     assert contaminated(frames[0], frames[1].where("item_id < 0")).count() == contaminated(frames[0].where("doc_id < 0"), frames[1]).count() == 0
 
 
+def test_leaks_shorter_than_their_item(spark):
+    rng = random.Random(15)
+    items = [(i, sentence(rng, n, 30_000)) for i, n in enumerate([95] * 40 + [100] * 41)]
+    docs = [(100 * i + n, " ".join(text.split()[:n])) for i, text in items[:40] for n in (75, 77, 78, 79, 80)]
+    found = contaminated(
+        spark.createDataFrame([(*d, i) for d, i in zip(docs, range(len(docs)))], "doc_id long, text string, item_id long"),
+        spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 100) for d, _ in docs if d % 100 >= 77}
+
+
 def test_fingerprints_follow_the_next_document(spark):
     rng = random.Random(6)
     texts = [sentence(rng, rng.randrange(400)) for _ in range(60)] + ["", None, "ä", "日本" * 300, "ab" * 20_000]
