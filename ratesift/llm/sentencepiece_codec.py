@@ -3,11 +3,12 @@
 The vocabulary is a byte-pair model. A token sequence is that model's encoding exactly if every two neighbours are: if
 merging the characters of two tokens by themselves gives those two tokens back. So the search keeps, for each of the
 last positions (as many as the longest piece has characters), the one token that may end there: the piece that ends
-there and whose neighbour before it is compatible. Backpointers are kept from the last committed boundary
-on; whenever those of all positions in the window meet in one boundary, the ids up to it are final and leave memory.
+there and whose neighbour before it is compatible. An automaton of all pieces names those that end at a character,
+longest first. Backpointers are kept from the last committed boundary on; whenever those of all positions in the window
+meet in one boundary, the ids up to it are final and leave memory.
 
-All paths meet wherever no piece holds the two characters around a place side by side. For blanks' marks and
-punctuation after letters that is read off the vocabulary on loading; the spans between such places are looked up
+All paths meet wherever no piece holds the two characters around a place side by side. For blanks' marks, punctuation
+after letters and line ends that is read off the vocabulary on loading; the spans between such places are looked up
 among those encoded before. Of the encoded spans, those not met again drop out in time, which costs time only.
 
 Characters outside the vocabulary become byte tokens. Decoding turns blanks' marks into blanks, joins bytes and drops
@@ -72,18 +73,26 @@ class Vocabulary:
             self.pieces.append("" if model.is_control(i) else piece)
         self.name = hashlib.sha256("\n".join(f"{p} {s}" for p, s in self.scores.items()).encode()).hexdigest()
         self.longest = max(map(len, self.ids))
-        #: By characters: what may follow in a piece, and the piece that ends here.
-        self.tree: list = [{}, None]
-        for piece in self.ids:
-            node = self.tree
-            for c in piece:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = piece
-        after_word = {y for p in self.ids for x, y in zip(p, p[1:]) if x.isalnum()}
-        marks = "".join(re.escape(c) for c in string.punctuation if c not in after_word)
-        ends = any(x != MARK and y == MARK for p in self.ids for x, y in zip(p, p[1:]))
-        words = f"{MARK}*[^\\W_]+(?=[{MARK}{marks}]|$)|{MARK}*[^{MARK}]+|{MARK}+"
-        self.spans = None if ends else re.compile(words)
+        pairs = {pair for p in self.ids for pair in zip(p, p[1:])}
+        bound = {x for x, y in pairs if x.isalnum() and y in string.punctuation}  # letters that join with a sign
+        lone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.ids))
+        marks = re.escape(string.punctuation)
+        ends = any(x != MARK and y == MARK for x, y in pairs)
+        words = f"{MARK}*[^\\W_{re.escape(''.join(sorted(bound)))}]+(?=[{MARK}{marks}{lone}]|$)|{MARK}*[^{MARK}{lone}]+|{MARK}+"
+        self.spans = None if ends else re.compile(f"{words}|[{lone}]" if lone else words)
+
+    def automaton(self):
+        """Finds the pieces that end at each character, longest first; built once a process."""
+        import ahocorasick
+
+        kept = kept_by_process(f"automaton of {self.name}")
+        if not kept:
+            found = ahocorasick.Automaton()
+            for piece in self.ids:
+                found.add_word(piece, piece)
+            found.make_automaton()
+            kept["pieces"] = found
+        return kept["pieces"]
 
     def merged(self, text: str) -> list[str]:
         """A short text's tokens by merging: best score first, then leftmost."""
@@ -103,7 +112,7 @@ class StreamingEncoder:
     """Feed marked text in pieces of any size; ids come out as they become final."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.endings = vocabulary, vocabulary.automaton()
         #: Whether two tokens may be neighbours, by process.
         self.compatible: dict[str, dict[str, bool]] = kept_by_process(f"pairs of {vocabulary.name}")
         self.known_pairs = sum(map(len, self.compatible.values()))
@@ -113,7 +122,7 @@ class StreamingEncoder:
         self.anchor = ""  # the last committed token
         self.text = ""  # from the last committed boundary on
         self.tokens: list[str | None] = []  # by position: the token that ends there
-        self.at = 0  # the first position from which no token has been tried
+        self.at = 0  # the first position without a token
 
     def _fits(self, left: str, right: str) -> bool:
         if self.known_pairs >= MOST_PAIRS:
@@ -124,41 +133,36 @@ class StreamingEncoder:
         self.compatible.setdefault(left, {})[right] = good
         return good
 
-    def _search(self, upto: int) -> None:
-        """Try all tokens that start before ``upto``."""
-        text, tokens, tree, compatible = self.text, self.tokens, self.v.tree[0], self.compatible
-        size, longest = len(text), self.v.longest
-        for start in range(self.at, upto):
-            left = tokens[start - 1] if start else self.anchor
-            fits = compatible.get(left, {})
-            node = tree.get(text[start])
-            if node is None or node[1] is None:  # a character alone is a token, known or not
-                c = text[start]
-                good = fits.get(c)
-                if good or good is None and self._fits(left, c):
-                    tokens[start] = c
-                if node is None:
-                    continue
-            for end in range(start + 1, min(start + longest, size) + 1):
-                piece = node[1]
-                if piece is not None:
-                    good = fits.get(piece)
-                    if good or good is None and self._fits(left, piece):
-                        tokens[end - 1] = piece
-                if end == size or (node := node[0].get(text[end])) is None:
-                    break
-        self.at = max(self.at, upto)
+    def _search(self) -> None:
+        """Find the token that ends at each new position."""
+        text, tokens, compatible, at = self.text, self.tokens, self.compatible, self.at
+        for end, piece in self.endings.iter(text, max(0, at - self.v.longest + 1)):
+            if tokens[end] is not None or end < at:
+                continue
+            last = end - len(piece)
+            if last >= 0:
+                left = tokens[last]
+                if left is None:  # no piece ends there: a character outside the vocabulary
+                    left = tokens[last] = text[last]
+            elif last == -1:
+                left = self.anchor
+            fits = compatible.get(left)
+            good = fits.get(piece) if fits is not None else None
+            if good or good is None and self._fits(left, piece):
+                tokens[end] = piece
+        if None in tokens:
+            self.tokens = [c if t is None else t for t, c in zip(tokens, text)]
+        self.at = len(text)
 
     def feed(self, text: str) -> list[int]:
         self.text += text
         self.tokens += [None] * len(text)
-        self._search(len(self.text) - self.v.longest + 1)
+        self._search()
         return self._take(self._meeting()) if self.at >= 2 * self.v.longest else []
 
     def _meeting(self) -> int:
-        """The boundary in which the paths of all positions meet from which the search goes on."""
-        window = range(self.at + 1, min(self.at + self.v.longest, len(self.tokens)) + 1)
-        ends = {self.at} | {e for e in window if self.tokens[e - 1] is not None}
+        """The boundary in which the paths of all positions meet from which a later token may start."""
+        ends = set(range(max(0, self.at - self.v.longest + 1), self.at + 1))
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
@@ -180,7 +184,6 @@ class StreamingEncoder:
         return out
 
     def close(self) -> list[int]:
-        self._search(len(self.text))
         out = self._take(len(self.text))
         self._restart()
         return out
@@ -188,6 +191,7 @@ class StreamingEncoder:
     def whole(self, text: str) -> list[int]:
         """All ids of a short text."""
         self.text, self.tokens = text, [None] * len(text)
+        self._search()
         return self.close()
 
 
@@ -256,6 +260,8 @@ class Codec:
 
     def _spell(self, ids: Iterable[int]) -> str:
         byte_of, parts, held = self.v.byte_of, [], bytearray()
+        if byte_of.keys().isdisjoint(ids):
+            return "".join([self.spelled[i] for i in ids])
         for i in ids:
             if i in byte_of:
                 held.append(byte_of[i])
