@@ -1,12 +1,16 @@
 """Format-preserving pseudonyms of personal numbers, dates and addresses by a keyed Feistel network.
 
 Candidates are found by patterns and then validated: card numbers by their check digit, IPv4 addresses by their
-octets, dates by the calendar (years 1900 to 2099), telephone numbers and e-mail addresses by their form and length.
+octets, dates by the calendar (years 1900 to 2099), social security numbers by their ranges, telephone numbers and e-mail
+addresses by their form and length. A date with slashes is read month first, or day first where that is no date.
 A valid value becomes a sequence of elements with a range each (digits, letters by case, octets, a date's day number
 in two parts). Its two halves take turns: each element of one half is moved within its range by an amount that a keyed
 hash of the other half gives. That permutes all values of one format, so equal values have equal pseudonyms in all
-documents and different ones different pseudonyms. A card's last digit is made to check again; a telephone number's
-country code, an e-mail address's domain and all separators stay. What isn't valid stays as it is.
+documents and different ones different pseudonyms. Separators stay and don't count: a card's digits, a telephone number
+with or without its country code, and a date in any form but one have the same pseudonym however they are written. The
+exception are dates that can only be read day first between slashes: they become dates of that kind, by as many turns as
+that takes, so that no two values with slashes meet. A card's last digit is made to check again; a telephone number's
+country code and an e-mail address's domain stay. What isn't valid stays as it is.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows change alike; an empty table gives no rows;
 other columns are not read.
@@ -22,16 +26,24 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,20}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-])"
+DATE = (
+    r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d\d:)"
+    r"|(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]))"
+)
+SECURITY = r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
     r"(?<![\w.])\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![\w-])"
-    r"|(?<![\w.+-])(?:\(\d{3}\) |\d{3}-)\d{3}-\d{4}(?![\w-])"
+    r"|(?<![\w.+-])(?:\(\d{3}\) |\d{3}-)\d{3}-\d{4}(?![\w-])|(?<![\w.])\+[1-9]\d{7,14}(?![\w-])"
 )
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<![\w.+-])(?:\d{13,19}|(?:\d{4}-){3}\d{4}|(?:\d{4} ){3}\d{4})(?![\w-])"
-ANY = "|".join((EMAIL, ADDRESS, DATE, PHONE, CARD))
-KINDS = ("email", "address", "date", "card", "phone")
+ANY = "|".join((EMAIL, ADDRESS, DATE, SECURITY, PHONE, CARD))
+KINDS = ("email", "address", "date", "security", "card", "phone")
 #: Days from 1900-01-01 to 2099-12-31 are DAY_PARTS multiplied.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
+#: Turns after which a date read day first is still one of the first twelve days of a month: about 1 of 10 ** 26.
+DAY_TURNS = 64
 
 
 def feistel(elements: Column, ranges: Column, tag: Column, key: str) -> Column:
@@ -81,23 +93,56 @@ def _address(value: Column, key: str) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     long = F.length(value) == 10
+    slashed = value.contains("/")
+    parts = F.split(value, r"[-./]").cast("array<int>")
+    day_first = slashed & (F.get(parts, F.lit(0)) > 12)
     form = (
-        F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("."), F.when(long, "dd.MM.yyyy").otherwise("d.M.yyyy"))
+        F.when(value.contains("-"), "yyyy-MM-dd")
+        .when(value.contains("."), F.when(long, "dd.MM.yyyy").otherwise("d.M.yyyy"))
+        .when(day_first, F.when(long, "dd/MM/yyyy").otherwise("d/M/yyyy"))
         .otherwise(F.when(long, "MM/dd/yyyy").otherwise("M/d/yyyy"))
     )
-    parts = F.split(value, r"[-./]").cast("array<int>")
     year = F.when(value.contains("-"), F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(2)))
-    month = F.when(value.contains("/"), F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1)))
-    day = F.when(value.contains("-"), F.get(parts, F.lit(2))).when(value.contains("/"), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    month_first = slashed & ~day_first
+    month = F.when(month_first, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1)))
+    day = (
+        F.when(value.contains("-"), F.get(parts, F.lit(2))).when(month_first, F.get(parts, F.lit(1)))
+        .otherwise(F.get(parts, F.lit(0)))
+    )
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
     date = F.try_to_date(text, "yyyy-MM-dd")
-    days = F.date_diff(date, F.lit(FIRST_DAY).cast("date"))
-    low = F.lit(DAY_PARTS[1])
-    moved = feistel(F.array(F.floor(days / low).cast("int"), days % low), F.array(F.lit(DAY_PARTS[0]), low), F.lit("date"), key)
-    there = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(moved, F.lit(0)) * low + F.get(moved, F.lit(1)))
+    first, low = F.lit(FIRST_DAY).cast("date"), F.lit(DAY_PARTS[1])
+
+    def turned(days: Column) -> Column:
+        """The day number that another one becomes."""
+        halves = F.array(F.floor(days / low).cast("int"), days % low)
+        moved = feistel(halves, F.array(F.lit(DAY_PARTS[0]), low), F.lit("date"), key)
+        return F.get(F.transform(F.array(moved), lambda m: F.get(m, F.lit(0)) * low + F.get(m, F.lit(1))), F.lit(0))
+
+    def turned_on(days: Column, turn: Column) -> Column:
+        return F.when((turn == 0) | (F.dayofmonth(F.date_add(first, days)) <= 12), turned(days)).otherwise(days)
+
+    days = F.date_diff(date, first)
+    on = F.aggregate(F.sequence(F.lit(0), F.lit(DAY_TURNS - 1)), days, turned_on)
+    there = F.date_add(first, F.when(day_first, on).otherwise(turned(days)))
     return F.when(year.between(1900, 2099) & date.isNotNull(), F.call_function("date_format", there, form))
 
 
+def _security(value: Column, key: str) -> Column:
+    """Three parts within their ranges: 001 to 899 but 666, 01 to 99, 0001 to 9999."""
+    area, group, serial = (F.get(F.split(value, "-").cast("array<int>"), F.lit(i)) for i in range(3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    parts = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
+    moved = feistel(parts, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.lit("security"), key)
+
+    def written(m: Column) -> Column:
+        at = F.get(m, F.lit(0))
+        whole = (F.when(at >= 665, at + 2).otherwise(at + 1), F.get(m, F.lit(1)) + 1, F.get(m, F.lit(2)) + 1)
+        return F.concat_ws("-", *[F.lpad(part.cast("string"), n, "0") for part, n in zip(whole, (3, 2, 4))])
+
+    return F.when(valid, F.get(F.transform(F.array(moved), written), F.lit(0)))
+
+
 def _card(value: Column, key: str) -> Column:
     digits = F.regexp_replace(value, "[ -]", "")
     body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"), key)
@@ -109,22 +154,34 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^(\+\d{1,3})?", 0)
-    digits = F.length(F.regexp_replace(value, r"\D", ""))
-    return F.when(digits.between(8, 15), F.concat(head, permuted_text(F.substr(value, F.length(head) + 1), F.lit("phone"), key)))
+    head = F.when(value.rlike(r"^\+\d+$"), F.regexp_extract(value, COUNTRY, 0)).otherwise(F.regexp_extract(value, r"^(\+\d{1,3})?", 0))
+    rest = F.substr(value, F.length(head) + 1)
+    moved = permuted_text(F.regexp_replace(rest, r"\D", ""), F.lit("phone"), key)
+
+    def spread(digits: Column) -> Column:
+        """The digits at the places of those before, between the same separators."""
+        def placed(c: Column, i: Column) -> Column:
+            before = F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), r"\D", ""))
+            return F.when(c.rlike(r"\d"), F.substr(digits, before, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.split(rest, ""), placed), "")
+
+    n = F.length(F.regexp_replace(value, r"\D", ""))
+    return F.when(n.between(8, 15), F.concat(head, F.get(F.transform(F.array(moved), spread), F.lit(0))))
 
 
 def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), "email").when(value.rlike(r"^\d+(\.\d+){3}$"), "address")
         .when(value.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})$"), "date")
+        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "security")
         .when(value.rlike(r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4})$"), "card").otherwise("phone")
     )
 
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a candidate, null if it isn't valid."""
-    kind, makers = kind_of(value), (_email, _address, _date, _card, _phone)
+    kind, makers = kind_of(value), (_email, _address, _date, _security, _card, _phone)
     out = F.lit(None).cast("string")
     for name, make in zip(KINDS, makers):
         out = F.when(kind == name, make(value, key)).otherwise(out)
@@ -133,7 +190,8 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, kinds, n_replaced): every text with pseudonyms in place of valid values, and the kinds of those."""
-    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
+    held = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = docs.select("doc_id", "text", F.coalesce(held, F.array().cast("array<string>")).alias("found"))
     found = found.withColumn("names", F.transform("found", lambda v: pseudonym(v, key)))
     gaps = F.split("text", ANY, -1)
     filled = F.zip_with(F.zip_with("found", "names", lambda v, p: F.coalesce(p, v)), gaps, lambda v, g: F.concat(g, F.coalesce(v, F.lit(""))))

@@ -79,8 +79,8 @@ PSEUDONYM_KEY = "corpus queries"
 
 @corpus_query("op6_pseudonyms")
 def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold personal values, with pseudonyms in their place; all others stay as they are."""
-    changed = pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY).where("n_replaced > 0")
+    """All documents, personal values with pseudonyms in their place."""
+    changed = pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
     return changed.select("doc_id", "n_replaced", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), "text")
 
 

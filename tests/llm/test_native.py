@@ -113,6 +113,36 @@ def test_pseudonyms_keep_their_format(spark):
     assert pseudonymise(docs.where("doc_id < 0"), "key").count() == 0
 
 
+def test_pseudonyms_of_common_forms(spark):
+    texts = {
+        1: "25/12/1990", 2: "1990-12-25T10:00:00", 3: "+14155550123", 4: "+1 (415) 555-0123", 5: "(415) 555-0123", 6: "123-45-6789",
+        7: "000-45-6789", 8: "666-45-6789", 9: "123-00-6789", 10: "31/02/1990", 11: "12/25/1990", 12: "1990-12-25", 13: "25/13/1990",
+        14: "+493012345678", 15: "1990-12-25Tx", 16: "415-555-0123",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in pseudonymise(docs, "key").collect()}
+    assert {i for i in texts if found[i].n_replaced == 0} == {7, 8, 9, 10, 13, 15}
+    assert all(found[i].text == texts[i] for i in (7, 8, 9, 10, 13, 15))
+    day, month, year = map(int, found[1].text.split("/"))
+    assert day > 12 and date(year, month, day) and len(found[1].text) == 10
+    month, day, year = found[11].text.split("/")
+    assert found[12].text == f"{year}-{month}-{day}" and found[2].text == found[12].text + "T10:00:00"
+    national = ["".join(c for c in found[i].text if c.isdigit())[-10:] for i in (3, 4, 5, 16)]
+    assert len(set(national)) == 1 and national[0] != "4155550123"
+    assert found[4].text[:4] == "+1 (" and found[4].text[7:9] == ") " and found[3].text[:2] == "+1" and found[14].text[:3] == "+49"
+    area, group, serial = found[6].text.split("-")
+    assert 0 < int(area) < 900 and area != "666" and int(group) and int(serial) and (len(area), len(group), len(serial)) == (3, 2, 4)
+    assert found[6].kinds == ["security"]
+
+
+def test_slashed_dates_never_meet(spark):
+    days = spark.range(400).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = days.select("doc_id", F.date_format("d", "MM/dd/yyyy").alias("text")).unionByName(
+        days.where("dayofmonth(d) > 12").select("doc_id", F.date_format("d", "dd/MM/yyyy").alias("text")))
+    out = [r.text for r in pseudonymise(forms, "key").collect()]
+    assert len(set(out)) == len(out) > 600
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
 def test_feistel_permutes(spark, size):
     from ratesift.llm.pseudonyms import permuted_text
