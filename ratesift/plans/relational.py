@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ratesift.functions import scalars as s
 from ratesift.operators import aggregates as agg
@@ -26,13 +28,16 @@ def project(t):
     return rel.project_ratings(t.ratings, with_time=True)
 
 
-@query("b2_clean_view", "f1 f2 f4", """SELECT 'flag' AS rule, userId, itemId FROM f1 WHERE nf1 = 0
+@query("b2_clean_view", "f1 f2 f4 optout", """SELECT 'flag' AS rule, userId, itemId FROM f1 WHERE nf1 = 0
     UNION ALL SELECT 'stacked', userId, itemId FROM f1 WHERE nf1 = 0
     UNION ALL SELECT 'all_ones', f1.userId, f1.itemId FROM f1 JOIN f2 USING (userId, itemId)
         JOIN f4 USING (userId, itemId) WHERE least(nf1, nf2, nf4) = 0
     UNION ALL SELECT 'both', f1.userId, f1.itemId FROM f1 JOIN f2 USING (userId, itemId)
-        JOIN f4 USING (userId, itemId) WHERE least(nf1, nf2, nf4) = 0 AND greatest(nf1, nf2, nf4) = 1""")
+        JOIN f4 USING (userId, itemId) WHERE least(nf1, nf2, nf4) = 0 AND greatest(nf1, nf2, nf4) = 1
+    UNION ALL SELECT 'framework', userId, itemId FROM f1 LEFT JOIN optout USING (userId) WHERE nf1 = 0 OR coalesce(OptOut, 0) = 1""")
 def clean_view(t):
+    from ratesift.operators import optout as opt
+
     flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.stored), t.items))
     flags = [F.col(c) for c in ("nf1", "nf2", "nf4")]
     table = flagged.select(
@@ -43,11 +48,13 @@ def clean_view(t):
         s.flag(F.greatest(*flags) == 0).alias("all_zeros"),
     )
     stacked = table.withColumn("isNoisy", F.when(F.col("isNoisy") == 0, "[0.]").otherwise("[1.]"))
+    opted = opt.attach_opt_out(flagged, opt.opt_out_users(flagged, "nf1"))
+    framework = opt.layer3_result(opted, "nf1")
     views = [
         rel.clean_view(source, rule).select(F.lit(rule).alias("rule"), "userId", "itemId")
-        for rule, source in (("flag", table), ("stacked", stacked), ("all_ones", table), ("both", table))
+        for rule, source in (("flag", table), ("stacked", stacked), ("all_ones", table), ("both", table), ("framework", framework))
     ]
-    return views[0].unionByName(views[1]).unionByName(views[2]).unionByName(views[3])
+    return reduce(DataFrame.unionByName, views)
 
 
 @query("b3_numeric_coercion", "items", """SELECT itemId, TRY_CAST(CASE WHEN genres LIKE '(%' THEN genres

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,18 +14,59 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path) on any file system Spark can reach."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write left its marker, on any file system Spark can reach."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    """Whether a finished write left its marker."""
+    files, place = _at(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def input_key(df: DataFrame, version: str = "") -> str | None:
+    """A digest of what ``df`` computes and of the files it reads (names, sizes, times), the same in every session.
+
+    None where the rows don't come from files alone: their content can't be told from the plan. Python functions count
+    by name only; a change of their code needs another ``version``.
+    """
+    spark, width = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(width)
+    spark.conf.set(width, str(2**31 - 1))
+    try:
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        spark.conf.set(width, before)
+    read = set(df.inputFiles())
+    if not read or re.search(r"\b(LocalRelation|LogicalRDD|ExternalRDD)\b", plan):
+        return None
+    found = []
+    for folder in sorted({name.rsplit("/", 1)[0] for name in read}):
+        files, place = _at(spark, folder)
+        for status in files.listStatus(place):
+            name = status.getPath().toUri().toString()
+            found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    parts = [version, re.sub(r"#\d+L?", "", plan), df.schema.json(), *sorted(read), *sorted(found)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
 
+def materialize_once(df: DataFrame, path: str, version: str = "") -> DataFrame:
+    """Reuse the table below ``path`` that was written from the same plan and input files; otherwise write it.
 
-def materialize_once(df: DataFrame, path: str) -> DataFrame:
-    """Reuse a finished table at ``path``; otherwise write it. Half-written output is replaced."""
-    spark = df.sparkSession
-    if not is_complete(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Every write has a folder of its own, so two writers never mix, and half-written ones are passed over. Tables of
+    other input stay for their readers.
+    """
+    spark, key = df.sparkSession, input_key(df, version)
+    own = f"{path}/{key or 'unkeyed'}"
+    files, place = _at(spark, own)
+    written = sorted(s.getPath().toString() for s in files.listStatus(place)) if key and files.exists(place) else []
+    done = next((w for w in written if is_complete(spark, w)), None)
+    if done is None:
+        done = f"{own}/{uuid.uuid4().hex}"
+        df.write.parquet(done)
+    return spark.read.schema(df.schema).parquet(done)
 
 
 def write_likelihood(likelihood: DataFrame, path: str) -> None:
