@@ -346,10 +346,11 @@ def nf4_full(t):
     return fuz.flag_fuzzy_noise(t.stored, fuz.FuzzyNoise(full=True)).select("userId", "itemId", "eligible", "nf4")
 
 
-@query("i5_noise_report", "f1 f2 f4", """SELECT filter, count(DISTINCT userId) AS users, count(DISTINCT itemId) AS items,
+@query("i5_noise_report", "f1 f2 f3 f4", """SELECT filter, count(DISTINCT userId) AS users, count(DISTINCT itemId) AS items,
     count(*) AS n_rows, CAST(sum(flag) AS BIGINT) AS noisy, round(avg(flag), 6) AS noisy_share FROM (
     SELECT 'nf1' AS filter, userId, itemId, nf1 AS flag FROM f1 UNION ALL SELECT 'nf2', userId, itemId, nf2 FROM f2
-    UNION ALL SELECT 'nf4', userId, itemId, nf4 FROM f4) GROUP BY filter""")
+    UNION ALL SELECT 'nf3', userId, itemId, nf3 FROM f3 UNION ALL SELECT 'nf4', userId, itemId, nf4 FROM f4) GROUP BY filter""")
 def report(t):
+    """All four filters; the prediction filter counts the ratings it tests."""
     flagged = fuz.flag_fuzzy_noise(coh.flag_coherence_noise(cat.flag_category_noise(t.stored), t.items))
-    return noise_report(flagged, ["nf1", "nf2", "nf4"])
+    return noise_report(flagged, ["nf1", "nf2", "nf4"]).unionByName(noise_report(nf3(t), ["nf3"]))

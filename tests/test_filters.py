@@ -148,3 +148,18 @@ def test_small_functions(spark):
         s.half_even(F.lit(2.5)).alias("r"), s.grid(0.0, 1.0, 3).alias("g"), s.ratio(F.lit(1), F.lit(0)).alias("z"),
     ).first()
     assert (row.est, row.n, row.r, row.g, row.z) == (3.45, 5, 2.0, [0.0, 0.5, 1.0], 0.0)
+
+
+def test_common_noise_of_three_filters(spark):
+    from ratesift.operators.consensus import common_noise, without_common_noise
+
+    ratings = spark.createDataFrame([(1, i, 3.0) for i in range(8)] + [(1, 7, 4.0)], "userId long, itemId long, rating double")
+    flagged = [
+        (ratings.selectExpr("userId", "itemId", f"CAST(CAST(shiftright(itemId, {b}) AS INT) & 1 AS INT) AS nf{b}"), f"nf{b}") for b in range(3)
+    ]
+    flagged[2] = (flagged[2][0].where("itemId <> 3"), "nf2")  # not scored: not common
+    assert [tuple(r) for r in common_noise(flagged).collect()] == [(1, 7)]
+    left = without_common_noise(ratings, flagged)
+    assert sorted(r.itemId for r in left.collect()) == list(range(7))
+    assert without_common_noise(ratings.where("itemId = 7"), flagged).count() == 0
+    assert common_noise([(df.where("itemId < 0"), n) for df, n in flagged]).count() == 0
