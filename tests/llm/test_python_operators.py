@@ -176,3 +176,25 @@ def test_toxicity_learns_stems_and_leaves_held_out_rows_alone(spark):
     flipped = known.where(f"doc_id NOT IN ({','.join(map(str, held))})").unionByName(wrong)
     assert {r.doc_id: r.score for r in toxicity(docs, flipped).collect()} == {i: r.score for i, r in found.items()}
     assert toxicity(docs.where("doc_id < 0"), known).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A stem of rows that a draw of 4000 rows by hash leaves out is learned too, from several shards."""
+    monkeypatch.setattr("ratesift.llm.toxicity.SHARD_ROWS", 1500, raising=False)
+    rng = random.Random(4)
+    ids = spark.range(7000).selectExpr(
+        "id", "pmod(xxhash64('draw', id), 1000000) / 1000000 AS draw", "crc32(CAST(id AS STRING)) % 4 = 2 AS held_out"
+    ).collect()
+    rows, labels, rare = [], [], []
+    for r in ids:
+        own, toxic = sentence(rng, rng.randrange(4, 9), 300).split(), r.id >= 700
+        if toxic:
+            left_out = r.draw > 0.9 and r.id % 4 == 0
+            own.insert(rng.randrange(len(own)), "vexnarol" if left_out else "grumbexa")
+            rare += [r.id] * (left_out and r.held_out)
+        rows.append((r.id, " ".join(own), "en"))
+        labels.append((r.id, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.score for r in toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    clean = [found[r.id] for r in ids if r.held_out and r.id < 700]
+    assert len(rare) > 20 and min(found[i] for i in rare) > 0.5 and sum(s < 0.5 for s in clean) >= 0.95 * len(clean)
