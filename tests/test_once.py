@@ -23,3 +23,8 @@ def read(df):
 def test_tier_medians_read_written_tiers(t):
     found = aggregates.tier_medians(t)
     assert "ratings" not in read(found) and found.count() > 0
+
+
+def test_clean_view_reads_written_flags(t):
+    found = relational.clean_view(t)
+    assert read(found) == {"flags"} and found.count() > 0
