@@ -28,3 +28,8 @@ def test_tier_medians_read_written_tiers(t):
 def test_clean_view_reads_written_flags(t):
     found = relational.clean_view(t)
     assert read(found) == {"flags"} and found.count() > 0
+
+
+def test_before_and_after_read_written_recommendations(t):
+    found = evaluation.before_and_after(t)
+    assert read(found) == {"recs", "split"} and found.count() > 0
