@@ -33,3 +33,8 @@ def test_clean_view_reads_written_flags(t):
 def test_before_and_after_read_written_recommendations(t):
     found = evaluation.before_and_after(t)
     assert read(found) == {"recs", "split"} and found.count() > 0
+
+
+def test_diversity_reads_written_likelihood(t):
+    found = evaluation.diversity_ndcg(t)
+    assert "likelihood" in read(found) and "ratings" not in read(found) and found.count() > 0
