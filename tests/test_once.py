@@ -38,3 +38,9 @@ def test_before_and_after_read_written_recommendations(t):
 def test_diversity_reads_written_likelihood(t):
     found = evaluation.diversity_ndcg(t)
     assert "likelihood" in read(found) and "ratings" not in read(found) and found.count() > 0
+
+
+def test_diversity_of_clusters_reads_written_users(t):
+    for plan in (evaluation.cluster_diversity, evaluation.change):
+        found = plan(t)
+        assert read(found) == {"diversity"} and found.count() > 0
