@@ -7,12 +7,13 @@ from collections import Counter
 
 import pytest
 from llm import plain
+from pyspark.sql import functions as F
 
 from ratesift.llm.decontamination import contaminated, weighted_likeness
 from ratesift.llm.passage_dedup import repeated_passages
 from ratesift.llm.piecewise_hash import Fingerprinter, common_length, fingerprints, likeness
 from ratesift.llm.sentencepiece_codec import MARK, MODEL, StreamingEncoder, Vocabulary, encode_documents
-from ratesift.llm.toxicity import toxicity
+from ratesift.llm.toxicity import KINDS, _packed, toxicity
 
 
 def sentence(rng, n, size=3000):
@@ -198,3 +199,15 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     found = {r.doc_id: r.score for r in toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     clean = [found[r.id] for r in ids if r.held_out and r.id < 700]
     assert len(rare) > 20 and min(found[i] for i in rare) > 0.5 and sum(s < 0.5 for s in clean) >= 0.95 * len(clean)
+
+
+def test_toxicity_shards_hold_a_row_for_each_document(spark):
+    """A shard is one partition's run of small rows in order, so that no row grows with it."""
+    rows = [(i, " ".join(["w"] * (i + 1)), "en", i % 2, i % 4 == 0) for i in range(300)]
+    packed = _packed(spark.createDataFrame(rows, "label_id long, text string, lang string, toxic int, held boolean").repartition(3), 4)
+    found = packed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).collect()
+    assert len(found) == 300 and {r.shard for r in found} == set(range(4)) and len({(r.shard, r.part) for r in found}) == 4
+    for shard in range(4):
+        sizes = [len(r.ids) for r in sorted(found, key=lambda r: r["at"]) if r.shard == shard]
+        assert sizes == sorted(sizes)
+    assert sorted(len(r.ids) for r in found) == [2 * KINDS * (i + 1) for i in range(300)]
