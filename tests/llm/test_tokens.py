@@ -46,6 +46,23 @@ def test_ids_of_segments_are_those_of_the_text(byte_level):
     assert found == [e.ids for e in byte_level.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_equal_parts_of_many_texts_are_looked_up_once(byte_level):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    with open(TOKENIZER, encoding="utf-8") as file:
+        encode = TextIds(file.read())
+    encode.kept.young = Counted(encode.kept.young)
+    texts = ["the cat sat on the mat\nand the cat ran"] * 500 + [t or "" for t in odd_texts(7, 500)]
+    assert encode(texts[:500]) == encode(texts[:1]) * 500 and Counted.asked < 100
+    found = encode(texts)
+    assert [numbers(ids) for ids in found] == [byte_level.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_slices_and_parts_give_the_text_back():
     for text in odd_texts(2, 500):
         assert "".join(slices(text or "", 5)) == (text or "")
