@@ -8,7 +8,7 @@ from ratesift.functions.scalars import genre_array, r6
 from ratesift.operators import metrics, relational
 from ratesift.operators.category_noise import flag_category_noise
 from ratesift.plans.registry import query
-from ratesift.session import scratch_path
+from ratesift.session import durable, scratch_path
 from ratesift.sources import readers, sinks
 
 
@@ -100,8 +100,10 @@ def materialize_once(t):
 @query("a10_likelihood_table", "rg", """SELECT userId, genre, round(count(*) / sum(count(*)) OVER (PARTITION BY userId), 6)
     AS likelihood FROM rg GROUP BY userId, genre""")
 def likelihood_table(t):
+    """The rated pairs are written first, so that no task both makes them distinct and counts their genres."""
     path = scratch_path(t.spark, "likelihood")
-    sinks.write_likelihood(metrics.genre_likelihood(t.ratings, t.items), path)
+    rated = durable(t.ratings.select("userId", "itemId"), "rated")
+    sinks.write_likelihood(metrics.genre_likelihood(rated, t.items), path)
     return readers.read_likelihood(t.spark, path).select("userId", "genre", r6(F.col("likelihood")).alias("likelihood"))
 
 

@@ -4,8 +4,10 @@ from types import SimpleNamespace
 
 import pytest
 
-from ratesift.plans import aggregates, evaluation, relational
+from ratesift.operators import metrics
+from ratesift.plans import aggregates, evaluation, relational, tables
 from ratesift.session import durable
+from ratesift.sources import views
 
 
 @pytest.fixture()
@@ -44,3 +46,21 @@ def test_diversity_of_clusters_reads_written_users(t):
     for plan in (evaluation.cluster_diversity, evaluation.change):
         found = plan(t)
         assert read(found) == {"diversity"} and found.count() > 0
+
+
+def test_likelihood_table_counts_genres_of_written_pairs(t, spark, monkeypatch):
+    seen = []
+    plain = metrics.genre_likelihood
+    monkeypatch.setattr(tables.metrics, "genre_likelihood", lambda ratings, items: seen.append(ratings) or plain(ratings, items))
+    found = tables.likelihood_table(SimpleNamespace(spark=spark, ratings=t.stored, items=t.items))
+    assert read(seen[0]) == {"rated"} and seen[0].columns == ["userId", "itemId"]
+    wanted = {(r.userId, r.genre): round(r.likelihood, 6) for r in plain(t.stored, t.items).collect()}
+    assert {(r.userId, r.genre): r.likelihood for r in found.collect()} == wanted
+
+
+def test_latest_rating_holds_each_column_once(spark):
+    log = spark.createDataFrame([(1, 2, 10, 5, 1, 0.5), (1, 2, 10, 5, 2, 1.0), (1, 2, 9, 9, 9, 2.0), (1, 3, None, 1, 1, 4.0)],
+                                "userId long, itemId long, ts long, l_orderkey long, l_linenumber long, rating double")
+    latest = views.latest_rating(log, ["ts", "l_orderkey", "l_linenumber"])
+    assert {tuple(r) for r in latest.collect()} == {(1, 2, 1.0, 10), (1, 3, 4.0, None)}
+    assert latest.columns == ["userId", "itemId", "rating", "ts"]
